@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 
 _WORD = np.ones(256, bool)
 _WORD[[32, 9, 10, 12, 13]] = False
+#: Letters, digits and all that isn't ASCII: tokens without punctuation.
+ALNUM = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.ones(1, np.uint64)
 #: Texts are hashed in slices of about this many bytes, whatever the batch holds.
@@ -67,12 +69,12 @@ def slices(col: pa.Array):
         at = end
 
 
-def word_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end (byte positions) and row of every token."""
+def word_spans(raw: np.ndarray, off: np.ndarray, of: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end (byte positions) and row of every token; of says which bytes belong to tokens."""
     if not len(raw):
         z = np.zeros(0, np.int64)
         return z, z, z
-    word = _WORD[raw]
+    word = of[raw]
     start = word.copy()
     start[1:] &= ~word[:-1]
     first = off[:-1][off[:-1] < len(raw)]
@@ -86,10 +88,10 @@ def word_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return s, np.flatnonzero(last) + 1, np.repeat(np.arange(len(off) - 1), n)
 
 
-def token_hashes(col: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every token, row of every token), in order of the text."""
-    raw, off = raw_buffers(pc.utf8_lower(col) if lower else col)
-    s, e, row = word_spans(raw, off)
+def token_hashes(col: pa.Array, of: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every token, row of every token), in order of the lower-cased text."""
+    raw, off = raw_buffers(pc.utf8_lower(col))
+    s, e, row = word_spans(raw, off, of)
     if not len(s):
         return np.zeros(0, np.uint64), row
     p = _powers(len(raw))
