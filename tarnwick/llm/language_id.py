@@ -104,7 +104,7 @@ class ByteConvNet:
             out[at : at + batch] = z / z.sum(1, keepdims=True)
         return out
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 12, rate: float = 3e-3, batch: int = 64, seed: int = 11) -> "ByteConvNet":
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 12, rate: float = 4e-3, batch: int = 64, seed: int = 11) -> "ByteConvNet":
         """Adam on the cross-entropy.  Only the position at which a filter is largest gets its gradient."""
         r = np.random.default_rng(seed)
         m = [np.zeros_like(p) for p in self.params()]
@@ -154,7 +154,7 @@ def _training_windows(texts: list[str], labels: list[int], other: int, per_text:
         b = text.encode()
         for k in range(min(per_text, 1 + len(b) // WINDOW)):
             at = int(r.integers(0, max(1, len(b) - WINDOW + 1)))
-            n = int(r.integers(12, WINDOW)) if k % 2 else WINDOW
+            n = int(r.integers(3, 128)) if k % 2 else WINDOW
             pieces.append(b[at : at + n])
             y.append(label)
     kinds = [b"0123456789", b"0123456789abcdef", b"!#$%&*+-/:;<=>?@[]^_|~", bytes(range(1, 256)), b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
@@ -167,7 +167,7 @@ def _training_windows(texts: list[str], labels: list[int], other: int, per_text:
     return x, np.array(y)
 
 
-def train(docs: DataFrame, *, max_rows: int = 3000, per_text: int = 3, epochs: int = 8, seed: int = 7, text_col: str = "text", label_col: str = "lang") -> ByteConvNet:
+def train(docs: DataFrame, *, max_rows: int = 3000, per_text: int = 3, steps: int = 800, seed: int = 7, text_col: str = "text", label_col: str = "lang") -> ByteConvNet:
     """Fits the network on at most max_rows labelled texts, those of the least hash, on the driver.
 
     Rows without text or label are left out.  The class "und" is trained on strings of digits, symbols
@@ -177,7 +177,7 @@ def train(docs: DataFrame, *, max_rows: int = 3000, per_text: int = 3, epochs: i
     rows = rows.orderBy(F.xxhash64("text", "label"), "label").limit(max_rows).collect()
     classes = sorted({r["label"] for r in rows} | {UNKNOWN})
     x, y = _training_windows([r["text"] for r in rows], [classes.index(r["label"]) for r in rows], classes.index(UNKNOWN), per_text, seed)
-    return ByteConvNet(classes, seed).fit(x, y, epochs)
+    return ByteConvNet(classes, seed).fit(x, y, max(1, round(steps * 64 / len(x))))
 
 
 def scores(net: ByteConvNet, col: pa.Array) -> np.ndarray:
@@ -192,7 +192,7 @@ def scores(net: ByteConvNet, col: pa.Array) -> np.ndarray:
     return out / np.where(total > 0, total, 1)
 
 
-def identify(docs: DataFrame, net: ByteConvNet, *, min_confidence: float = 0.5, text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, net: ByteConvNet, *, min_confidence: float = 0.3, text_col: str = "text") -> DataFrame:
     """docs with lang_id (language, confidence, accepted).
 
     accepted: the likeliest class is a language, and its probability at least min_confidence.  A null or

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnwick.llm import collision_knn, language_id, licence_scan, mixing, ngram_lm, packing, quality_rules, sharding, url_filter
 from tarnwick.llm.jaccard_join import jaccard_join
 
 
@@ -39,9 +40,49 @@ WHERE inter::DOUBLE / (na + nb - inter) >= 0.5 - 1e-12
 """
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language_id.identify(docs.select("doc_id", "text"), language_id.train(docs)).select("doc_id", "lang_id.*")
+
+
+def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan.scan(_table(spark, sf_dir, "documents"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    rules = quality_rules.learn_from(docs, _table(spark, sf_dir, "labels"))
+    return quality_rules.judge(docs.select("doc_id", "text"), rules).select("doc_id", "rule", "keep")
+
+
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.sample(_table(spark, sf_dir, "documents"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(_table(spark, sf_dir, "pages"))
+
+
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collision_knn.neighbours(_table(spark, sf_dir, "embeddings"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score(_table(spark, sf_dir, "benchmark"), _table(spark, sf_dir, "documents"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_table(spark, sf_dir, "documents"), F.md5(F.col("text")), F.octet_length("text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_ngram_jaccard_join,)}
+    own = (op1_language_id, op2_licence_scan, op3_ngram_jaccard_join, op4_quality_rules, op5_mix_sources, op6_url_filter, op7_nearest_neighbours, op8_packing, op9_lm_scoring, op10_sharding)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_jaccard_join": OP3_SQL}
+    return {"op3_ngram_jaccard_join": OP3_SQL, "op6_url_filter": url_filter.oracle(url_filter.compile_rules())}
