@@ -24,14 +24,19 @@ def negative_log_likelihood(scored: DataFrame, label: str = "label", h: str = "p
     return scored.agg(F.count("*").alias("samples"), (-F.avg(C.log_loss(F.col(label), F.col(h)))).alias("nll"))
 
 
-def auc(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+def auc(scored: DataFrame, score: str = "score", label: str = "label", pieces: int = 256) -> DataFrame:
     """One row (positives, negatives, auc): the share of pairs in the right order, ties by half.
 
-    Scores are grouped first; ranks then come from counts of groups below, so ties need no care.
+    Scores are grouped first, and cut into pieces at their quantiles; negatives below a score are those of
+    the pieces before and those before it in its piece, so no task sorts all scores.
     """
-    g = scored.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("n"))
-    below = F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1))
-    part = g.withColumn("won", F.col("p") * (F.coalesce(below, F.lit(0)) + F.col("n") / 2.0))
+    g = scored.groupBy(F.col(score).cast("double").alias("s")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("n"))
+    bounds = scored.agg(F.percentile_approx(F.col(score).cast("double"), [k / pieces for k in range(1, pieces)], 10_000)).first()[0] or []
+    g = g.withColumn("__b", F.size(F.filter(F.lit(sorted(set(bounds))).cast("array<double>"), lambda b: b <= F.col("s"))))
+    before = g.groupBy(F.col("__b").alias("__of")).agg(F.sum("n").alias("__all"))
+    before = before.withColumn("__n", F.sum("__all").over(Window.orderBy("__of")) - F.col("__all")).drop("__all")
+    below = F.coalesce(F.sum("n").over(Window.partitionBy("__b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("__n")
+    part = g.join(before, F.col("__b") == F.col("__of")).withColumn("won", F.col("p") * (below + F.col("n") / 2.0))
     return part.agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives"), (F.sum("won") / F.sum("p") / F.sum("n")).alias("auc"))
 
 

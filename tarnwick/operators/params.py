@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwick.functions import columns as C
@@ -133,7 +133,7 @@ class ParamTable:
         known = F.col("__d").isNotNull()
         own = own.withColumn("values", F.when(known, F.transform("values", lambda v, i: (v + get(i, "u")).cast(t))).otherwise(F.col("values")))
         own = own.withColumn("deltas", F.when(known, F.transform("deltas", lambda v, i: (v + get(i, "s")).cast(t))).otherwise(F.col("deltas")))
-        rate = F.zip_with("alphas", "deltas", lambda a, d: adagrad_rate(a, d, **self.adagrad).cast(t))
+        rate = F.zip_with("alphas", "deltas", lambda a, d: adagrad_rate(a, d, self.adagrad["alpha"], self.adagrad["least"], self.adagrad["factor"]).cast(t))
         return self.with_df(own.withColumn("alphas", F.when(known, rate).otherwise(F.col("alphas"))).drop("__d"))
 
     def zero(self) -> ParamTable:
@@ -171,9 +171,8 @@ class ParamTable:
         return ((r["key"], r[self.column]) for r in self.collect().toLocalIterator())
 
 
-def adagrad_rate(alpha, delta, *, alpha0: float | None = None, least: float, factor: float, **more):
+def adagrad_rate(alpha: Column, delta: Column, start: float, least: float, factor: float) -> Column:
     """The learning rate after a sum of squares delta: it shrinks only once delta is above 1."""
-    start = more["alpha"] if alpha0 is None else alpha0
     return F.when(delta > 1, F.greatest(F.lit(float(start)) / (F.lit(float(factor)) * F.sqrt(delta)), F.lit(float(least)))).otherwise(alpha)
 
 

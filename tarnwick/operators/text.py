@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwick.functions import columns as C
@@ -32,26 +32,23 @@ def word_counts(tokens: DataFrame, more_than: int = 0) -> DataFrame:
 
 def vocabulary_by_count(counts: DataFrame, ascending: bool = False) -> DataFrame:
     """(word, count, id): ids from 0, by count and then by word."""
-    order = F.col("count").asc() if ascending else F.col("count").desc()
-    return counts.withColumn("id", (F.row_number().over(Window.orderBy(order, "word")) - 1).cast("int"))
+    return dense_ids(counts, [F.col("count") if ascending else -F.col("count"), F.substring("word", 1, 2)], "word")
 
 
 def vocabulary_by_word(tokens: DataFrame) -> DataFrame:
-    """(word, id): the distinct words, numbered from 0 in their order.
-
-    Numbers come from a range partitioning and the sizes of its parts, so no single task sorts all words.
-    """
-    return dense_ids(tokens.select("word").distinct(), "word")
+    """(word, id): the distinct words, numbered from 0 in their order."""
+    return dense_ids(tokens.select("word").distinct(), [F.substring("word", 1, 2)], "word")
 
 
-def dense_ids(df: DataFrame, col: str) -> DataFrame:
-    """df with id, from 0, in the order of its distinct col.
+def dense_ids(df: DataFrame, pieces: list[Column], last: str) -> DataFrame:
+    """df with id, from 0, in ascending order of pieces and then of column last.
 
-    Words are bucketed by their first two characters, ranked in their bucket, and shifted by the buckets before.
+    Rows are ranked within the pieces that the first columns make, and shifted by the sizes of the pieces
+    before; so no single task sorts all rows.
     """
-    own = df.withColumn("__b", F.substring(col, 1, 2))
+    own = df.withColumn("__b", F.struct(*(c.alias(f"p{k}") for k, c in enumerate(pieces))))
     before = own.groupBy("__b").count().withColumn("__n", F.sum("count").over(Window.orderBy("__b")) - F.col("count")).select(F.col("__b").alias("__of"), "__n")
-    ranked = own.withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy(col)) - 1)
+    ranked = own.withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy(last)) - 1)
     return ranked.join(before, F.col("__b") == F.col("__of")).withColumn("id", (F.col("__r") + F.col("__n")).cast("int")).drop("__b", "__of", "__n", "__r")
 
 
@@ -75,8 +72,12 @@ def context_pairs(tokens: DataFrame, window: int, sentence: str = "doc_id") -> D
     return own.join(near, (F.col(sentence) == F.col("__s")) & (F.col("center") == F.col("__at")) & (F.col("center") != F.col("context"))).select(sentence, "center", "context", "center_word", "context_word")
 
 
+def similarities(vectors: DataFrame, word_id: int) -> DataFrame:
+    """(id, similarity): the cosine of every other vector (id, values) with that of word_id."""
+    query = vectors.where(F.col("id") == word_id).select(F.col("values").alias("__q")).limit(1)
+    return vectors.where(F.col("id") != word_id).crossJoin(F.broadcast(query)).select("id", C.cosine(F.col("__q"), F.col("values")).alias("similarity"))
+
+
 def nearest_words(vectors: DataFrame, word_id: int, k: int) -> DataFrame:
     """(id, similarity) of the k vectors of greatest cosine with that of word_id, which is left out; ties go to the smaller id."""
-    query = vectors.where(F.col("id") == word_id).select(F.col("values").alias("__q"))
-    scored = vectors.where(F.col("id") != word_id).crossJoin(F.broadcast(query)).select("id", C.cosine(F.col("__q"), F.col("values")).alias("similarity"))
-    return scored.orderBy(F.desc("similarity"), "id").limit(k)
+    return similarities(vectors, word_id).orderBy(F.desc("similarity"), "id").limit(k)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass, field
 from enum import Enum
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -55,37 +56,51 @@ def snapshot_versions(clock: int, max_lag: int, newest: int, policy: str = "fres
     return newest if policy == "freshest" else max(0, min(newest, clock - max_lag))
 
 
-def lags(reports: DataFrame, workers: int) -> DataFrame:
-    """Progress reports (seq, worker, iter) with slowest and lag: the slowest of all reported workers up to each report.
+def lags(reports: DataFrame, order: list[str], piece: Column) -> DataFrame:
+    """Progress reports (worker, iter, ...) with slowest and lag: the least of the latest iterations of all workers that reported so far.
 
-    One running maximum for each worker, then one pass that takes the least: workers is a small number.
+    piece is a whole number that doesn't fall along the order; the pieces of the sequence are worked on in
+    parallel, each from the latest iteration of every worker in the pieces before it.
     """
-    upto = Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    latest = [F.max(F.when(F.col("worker") == w, F.col("iter"))).over(upto) for w in range(workers)]
-    slowest = F.least(*latest) if workers > 1 else latest[0]
-    return reports.withColumn("slowest", slowest).withColumn("lag", F.col("iter") - F.col("slowest"))
-
-
-def lags_by_join(reports: DataFrame) -> DataFrame:
-    """The same as lags() for any number of workers: worker intervals meet the reports in a join on worker."""
-    own = Window.partitionBy("worker").orderBy("seq")
-    spans = reports.withColumn("until", F.coalesce(F.lead("seq").over(own) - 1, F.lit(2**62))).select(F.col("seq").alias("from_seq"), "until", F.col("iter").alias("other"))
-    r = reports.select("seq", "worker", "iter")
-    joined = r.join(spans, (F.col("seq") >= F.col("from_seq")) & (F.col("seq") <= F.col("until")))
-    return joined.groupBy("seq", "worker", "iter").agg(F.min("other").alias("slowest")).withColumn("lag", F.col("iter") - F.col("slowest"))
-
-
-def replay(reports: DataFrame, max_lag: int) -> DataFrame:
-    """(seq, worker, iter, waits, released) of the clock over all reports in order of seq.
-
-    The clock is one sequence of events by nature; it gets only these three numbers of a report.
+    own = reports.withColumn("__p", piece.cast("long"))
+    top = own.groupBy(F.col("__p").alias("__q"), F.col("worker").cast("long").alias("worker")).agg(F.max("iter").cast("long").alias("iter"))
+    pieces = top.select(F.col("__q").alias("__p")).distinct()
+    grid = top.select("worker").distinct().crossJoin(pieces).join(top.withColumnRenamed("__q", "__p"), ["worker", "__p"], "left")
+    before = Window.partitionBy("worker").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    start = grid.select("__p", "worker", F.max("iter").over(before).alias("iter")).where("iter is not null")
+    fields = [*reports.schema.fieldNames()]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in reports.schema.fields), "slowest long", "lag long"])
+
+    def run(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order)
+        latest = dict(zip(known["worker"].tolist(), known["iter"].tolist()))
+        heap = [(i, w) for w, i in latest.items()]
+        heapq.heapify(heap)
+        slowest = []
+        for w, i in zip(rows["worker"].tolist(), rows["iter"].tolist()):
+            i = max(i, latest.get(w, i))
+            latest[w] = i
+            heapq.heappush(heap, (i, w))
+            while latest[heap[0][1]] != heap[0][0]:
+                heapq.heappop(heap)
+            slowest.append(heap[0][0])
+        out = rows.assign(slowest=pd.Series(slowest, index=rows.index, dtype="int64"))
+        return out.assign(lag=out["iter"] - out["slowest"])[[*fields, "slowest", "lag"]]
+
+    return own.groupBy("__p").cogroup(start.groupBy("__p")).applyInPandas(run, schema)
+
+
+def replay(reports: DataFrame, max_lag: int, order: tuple[str, ...] = ("seq",)) -> DataFrame:
+    """(order, worker, iter, waits, released) of the clock over all reports in the order of some whole numbers.
+
+    The clock is one sequence of events by nature; it gets only these numbers of a report.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
+        pdf = pdf.sort_values(list(order))
         clock = StalenessClock(sorted(pdf["worker"].unique().tolist()), max_lag)
         out = [clock.progress(int(w), int(i)) for w, i in zip(pdf["worker"], pdf["iter"])]
-        return pdf.assign(waits=[w for w, _ in out], released=[r for _, r in out])[["seq", "worker", "iter", "waits", "released"]]
+        return pdf.assign(waits=[w for w, _ in out], released=[r for _, r in out])[[*order, "worker", "iter", "waits", "released"]]
 
-    one = reports.select("seq", "worker", "iter", F.lit(0).alias("__all"))
-    return one.groupBy("__all").applyInPandas(lambda p: run(p.drop(columns="__all")), "seq long, worker long, iter long, waits boolean, released array<long>")
+    one = reports.select(*(F.col(c).cast("long") for c in (*order, "worker", "iter")), F.lit(0).alias("__all"))
+    return one.groupBy("__all").applyInPandas(lambda p: run(p.drop(columns="__all")), ", ".join(f"`{c}` long" for c in (*order, "worker", "iter")) + ", waits boolean, released array<long>")
