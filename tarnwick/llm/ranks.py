@@ -31,4 +31,4 @@ def only_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", broadcast_
     """Rows of docs whose id is in ids, a table of one column.  ids is broadcast only if it is small enough."""
     ids = ids.toDF("__kept")
     small = ids.count() * 16 <= broadcast_bytes
-    return docs.join(F.broadcast(ids) if small else ids, docs[id_col] == F.col("__kept"), "left_semi")
+    return docs.join(F.broadcast(ids) if small else ids, docs[id_col] == ids["__kept"], "left_semi")
