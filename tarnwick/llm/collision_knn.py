@@ -15,7 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors of one index, which is broadcast; more of them make more indexes.
+from tarnwick.llm.session import BROADCAST_BYTES
+
+#: Vectors of one index; more of them make more indexes.
 INDEX_ROWS = 100_000
 
 
@@ -95,8 +97,9 @@ def neighbours(vectors: DataFrame, k: int = 10, *, projections: int = 60, miss:
     """(vec_id, neighbour_id, rank, distance): the k nearest other vectors of every vector, by Euclidean distance.
 
     rank counts from 1; ties go to the smaller id.  miss bounds the probability with which a vector at the
-    final radius is overlooked in an index; nearer ones are overlooked less.  Of more than index_rows
-    vectors several indexes are made, broadcast one by one, and their answers merged.
+    final radius is overlooked in an index; nearer ones are overlooked less.  One index of up to index_rows
+    vectors (fewer where they are long) is broadcast.  More vectors make several indexes: each block of
+    queries meets each index in a task of its own, and the answers are merged.
 
     Defined cases: rows with a null id or vector, a null or non-finite element, or another length than the
     longest vector, are left out; rows that repeat an id are one vector, the first by its elements; equal
@@ -112,34 +115,48 @@ def neighbours(vectors: DataFrame, k: int = 10, *, projections: int = 60, miss:
     if not stats["n"]:
         return spark.createDataFrame([], schema)
     own = own.where(F.size("v") == stats["width"])
-    shards = -(-stats["n"] // index_rows)
-    found = None
+    rows = max(k + 1, min(index_rows, BROADCAST_BYTES // (4 * stats["width"] + 8)))
+    shards = -(-stats["n"] // rows)
+
+    def answer(ids: np.ndarray, x: np.ndarray, asked: pa.Array, qs: np.ndarray, index: CollisionIndex) -> pa.Table:
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for item, q in zip(asked.to_pylist(), qs):
+            at = int(np.searchsorted(ids, item))
+            near, d = index.search(q, k, at if at < len(ids) and ids[at] == item else -1)
+            out.append((np.full(len(near), item), ids[near], d))
+        return pa.table([pa.array(np.concatenate([o[c] for o in out])) for c in range(3)], ["vec_id", "neighbour_id", "distance"])
+
+    found_as = "vec_id long, neighbour_id long, distance double"
+    if shards == 1:
+        part = own.orderBy("vec_id").toArrow()
+        held = spark.sparkContext.broadcast((part.column(0).to_numpy(), _matrix(part.column(1))))
 
-    def searcher(held):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, x = held.value
             index = CollisionIndex(x, projections, miss=miss, seed=seed)
             for b in batches:
-                col = b.column(1)
-                qs = np.asarray(col.flatten()).reshape(len(col), -1)
-                out: list[tuple[np.ndarray, ...]] = []
-                for item, q in zip(b.column(0).to_pylist(), qs):
-                    at = int(np.searchsorted(ids, item))
-                    rows, d = index.search(q, k, at if at < len(ids) and ids[at] == item else -1)
-                    out.append((np.full(len(rows), item), ids[rows], d))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[c] for o in out])) for c in range(3)], ["vec_id", "neighbour_id", "distance"])
-
-        return run
-
-    cores = spark.sparkContext.defaultParallelism
-    queries = own.repartition(max(cores, min(-(-stats["n"] // 512), 4 * cores)), "vec_id")
-    for s in range(shards):
-        part = own.where(F.pmod(F.xxhash64("vec_id"), F.lit(shards)) == s).orderBy("vec_id").toArrow()
-        if not part.num_rows:
-            continue
-        x = part.column(1).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-        held = spark.sparkContext.broadcast((part.column(0).to_numpy(), x))
-        answers = queries.mapInArrow(searcher(held), "vec_id long, neighbour_id long, distance double")
-        found = answers if found is None else found.unionByName(answers)
+                yield from answer(ids, x, b.column(0), _matrix(b.column(1)), index).to_batches()
+
+        cores = spark.sparkContext.defaultParallelism
+        found = own.repartition(max(cores, min(-(-stats["n"] // 512), 4 * cores)), "vec_id").mapInArrow(run, found_as)
+    else:
+
+        def pair(indexed: pa.Table, asked: pa.Table) -> pa.Table:
+            indexed = indexed.sort_by("vec_id")
+            ids, x = indexed.column("vec_id").to_numpy(), _matrix(indexed.column("v"))
+            return answer(ids, x, asked.column("vec_id"), _matrix(asked.column("v")), CollisionIndex(x, projections, miss=miss, seed=seed))
+
+        every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
+        piece = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
+        left = own.select("vec_id", "v", piece.alias("shard"), every.alias("block")).groupBy("shard", "block")
+        right = own.select(F.col("vec_id").alias("vec_id"), F.col("v").alias("v"), piece.alias("block"), every.alias("shard")).groupBy("shard", "block")
+        found = left.cogroup(right).applyInArrow(pair, found_as)
     order = Window.partitionBy("vec_id").orderBy("distance", "neighbour_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("vec_id", "neighbour_id", "rank", "distance")
+
+
+def _matrix(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Rows of a column of arrays that are all of one length."""
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    return np.asarray(col.flatten(), np.float32).reshape(len(col), -1) if len(col) else np.zeros((0, 1), np.float32)
