@@ -170,11 +170,14 @@ def _training_windows(texts: list[str], labels: list[int], other: int, per_text:
 def train(docs: DataFrame, *, max_rows: int = 3000, per_text: int = 3, steps: int = 800, seed: int = 7, text_col: str = "text", label_col: str = "lang") -> ByteConvNet:
     """Fits the network on at most max_rows labelled texts, those of the least hash, on the driver.
 
+    Only hashes are sorted to find them; copies of a text count towards max_rows, and are trained on once.
     Rows without text or label are left out.  The class "und" is trained on strings of digits, symbols
     and random bytes.  Without any labelled row that is the only class.
     """
     rows = docs.select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label")).where("length(text) > 0 and label is not null")
-    rows = rows.orderBy(F.xxhash64("text", "label"), "label").limit(max_rows).collect()
+    rows = rows.withColumn("h", F.xxhash64("text", "label"))
+    most = rows.select("h").orderBy("h").limit(max_rows).agg(F.max("h")).first()[0]
+    rows = rows.where(F.col("h") <= F.lit(most)).groupBy("h", "label").agg(F.min("text").alias("text")).orderBy("h", "label").collect() if most is not None else []
     classes = sorted({r["label"] for r in rows} | {UNKNOWN})
     x, y = _training_windows([r["text"] for r in rows], [classes.index(r["label"]) for r in rows], classes.index(UNKNOWN), per_text, seed)
     return ByteConvNet(classes, seed).fit(x, y, max(1, round(steps * 64 / len(x))))
