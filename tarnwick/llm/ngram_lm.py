@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwick.llm import textkernel as tk
+from tarnwick.llm.session import cut
 
 SHARD_TOKENS = 2_000_000
 #: Tokens of the texts to score that are looked up in one pass over the corpus.
@@ -197,7 +198,7 @@ def score(texts: DataFrame, corpus: DataFrame, *, alpha: float = 0.5, shard_toke
     found = parts[0]
     for p in parts[1:]:
         found = found.union(p)
-    summed = found.groupBy("start", "length").agg(F.sum("count").alias("count"))
+    summed = cut(found.groupBy("start", "length").agg(F.sum("count").alias("count")))
     total = F.coalesce(F.sum(F.when(F.col("start") == -1, F.col("count"))), F.lit(0))
     starts, lots = np.array([p[2] for p in place]), len(parts)
     spots = spark.sparkContext.broadcast((starts, place))
