@@ -1,0 +1,286 @@
+"""Scores of all texts of a corpus, each by all the other texts, with the model of ngram_lm.
+
+Texts stay in chunks of about CHUNK_TOKENS tokens.  In rounds, a chunk asks how often runs of its tokens
+occur in the corpus: it sends their hashes once, counts are summed by hash, and sums come back in the
+chunk's own order.  Runs of up to DENSE tokens are asked for one token longer at a time, as long as they
+occur in another text.  Of longer ones the length is doubled, and lengths between two are asked for, by
+halves, only where the counts at both differ; so no order is fixed, and a copy of n tokens takes about
+n log n numbers and not n * n.
+"""
+
+from __future__ import annotations
+
+import pickle
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tarnwick.llm import textkernel as tk
+from tarnwick.llm.session import cut, shuffle_partitions
+
+CHUNK_TOKENS, BUCKET_TOKENS = 1_000_000, 3_000_000
+#: Longest run of tokens that is asked for one token at a time.
+DENSE = 8
+#: After so many equal steps of the recursion its value no longer changes (each takes a third or less of the one before).
+_STEPS = 60
+_BASE = 0x9FB21C651E98DF25
+_STATE = "chunk long, asked long, tokens long, state binary"
+
+
+def _pack(x) -> bytes:
+    raw = pickle.dumps(x, protocol=5)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
+
+
+def _unpack(x: bytes):
+    return pickle.loads(pa.Codec("zstd").decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.r_[np.uint64(1), np.full(n, base, np.uint64)])
+
+
+class Chunk:
+    """Texts and what is known of their runs of tokens, each named by its last position and its length.
+
+    dense[d - 1]: occurrences in other texts of the runs of d tokens asked for; deep: (position, length, occurrences
+    in all texts, in other texts), by position and length, for positions whose run of DENSE tokens occurs elsewhere.
+    """
+
+    def __init__(self, ids: list[int | None], sizes: np.ndarray, hashes: np.ndarray):
+        self.ids, self.sizes = ids, sizes
+        self.vocabulary = tk.sorted_unique(hashes)
+        at = np.searchsorted(self.vocabulary, hashes)
+        self.at = at.astype(np.uint16 if len(self.vocabulary) < 1 << 16 else np.uint32)
+        self.dense: list[np.ndarray] = []
+        self.deep = np.zeros((4, 0), np.int32)
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray]:
+        """Text of every token, and its place in it."""
+        row = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        return row, np.arange(len(self.at)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+
+    def dense_positions(self, place: np.ndarray) -> Iterator[np.ndarray]:
+        """Positions asked for at lengths 1, 2, ..., the last of them not answered yet."""
+        own = np.arange(len(self.at))
+        for d, other in enumerate(self.dense, 1):
+            yield own
+            own = own[other > 0]
+            own = own[place[own] >= d]
+        yield own
+
+    def asks(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(position, length, whether such a run lies in the text) of what is to be known next."""
+        if len(self.dense) < DENSE:
+            *_, own = self.dense_positions(place)
+            return own, np.full(len(own), len(self.dense) + 1), np.ones(len(own), bool)
+        pos, length, total, other = self.deep
+        last = np.r_[pos[1:] != pos[:-1], True][: len(pos)]
+        top = np.flatnonzero(last & (other > 0))
+        a = np.flatnonzero(~last & (other > 0))
+        a = a[(length[a + 1] - length[a] > 1) & (total[a + 1] != total[a])]
+        p = np.r_[pos[top], pos[a]].astype(np.int64)
+        n = np.r_[length[top].astype(np.int64) * 2, (length[a].astype(np.int64) + length[a + 1]) // 2]
+        return p, n, n <= place[p] + 1
+
+    def hashes(self, pos: np.ndarray, length: np.ndarray) -> np.ndarray:
+        n = len(self.at)
+        c = np.r_[np.uint64(0), np.cumsum(self.vocabulary[self.at] * _powers(_BASE, n)[:n])]
+        start = pos + 1 - length
+        h = (c[pos + 1] - c[start]) * _powers(pow(_BASE, -1, 1 << 64), n)[start]
+        return tk.mix64(tk.mix64(h) + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+    def request(self) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, occurrences in the chunk) of the runs to ask for, by hash."""
+        pos, length, fits = self.asks(self.rows()[1])
+        return np.unique(self.hashes(pos[fits], length[fits]), return_counts=True)
+
+    def answer(self, totals: np.ndarray) -> int:
+        """Takes the sums for request(), in its order; returns how much is to be asked for next."""
+        row, place = self.rows()
+        pos, length, fits = self.asks(place)
+        _, which = np.unique(self.hashes(pos[fits], length[fits]), return_inverse=True)
+        _, by, own = np.unique(which.astype(np.int64) * len(self.sizes) + row[pos[fits]], return_inverse=True, return_counts=True)
+        total, other = np.zeros(len(pos), np.int64), np.zeros(len(pos), np.int64)
+        total[fits] = totals[which]
+        other[fits] = totals[which] - own[by]
+        if len(self.dense) < DENSE:
+            self.dense.append(other.astype(np.uint32))
+            if len(self.dense) == DENSE:
+                some = other > 0
+                self.deep = np.stack([pos, length, total, other])[:, some].astype(np.int64)
+        else:
+            deep = np.concatenate([self.deep, np.stack([pos, length, total, other])], 1)
+            self.deep = deep[:, np.lexsort((deep[1], deep[0]))]
+        return len(self.asks(place)[0])
+
+    def scores(self, tokens: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+        """(natural logarithm of the probability, longest context that occurs elsewhere) of every token, of a corpus of so many tokens."""
+        row, place = self.rows()
+        n = len(self.at)
+        seen = np.zeros((DENSE + 1, n))
+        for d, (own, other) in enumerate(zip(self.dense_positions(place), self.dense)):
+            seen[d, own] = other
+        p = np.maximum(seen[0], 1) / (tokens - self.sizes[row] + 1)
+        context = np.zeros(n, np.int64)
+        for k in range(1, DENSE):
+            j = np.flatnonzero((place > 0) & (np.r_[0, seen[k - 1, :-1]] > 0))
+            p[j] = (seen[k, j] + alpha * p[j]) / (seen[k - 1, j - 1] + alpha)
+            context[j] = k
+        log = np.log(p)
+        pos, length, _, other = self.deep
+        if not len(pos):
+            return log, context
+        # Counts change at events: of the context of the next token, and of the run that the token ends.
+        after = np.flatnonzero(pos + 1 < n)
+        after = after[place[pos[after] + 1] > 0]
+        token, k = np.r_[pos[after] + 1, pos], np.r_[length[after], length - 1]
+        value, of_context = np.r_[other[after], other], np.r_[np.ones(len(after), bool), np.zeros(len(pos), bool)]
+        order = np.lexsort((k, token))
+        token, k, value, of_context = token[order], k[order], value[order], of_context[order]
+        i = np.arange(len(token))
+        first = np.maximum.accumulate(np.where(np.r_[True, token[1:] != token[:-1]], i, 0))
+
+        def held(kind: np.ndarray) -> np.ndarray:
+            at = np.maximum.accumulate(np.where(kind, i, -1))
+            return np.where(at >= first, value[at], 0)
+
+        c, w = held(of_context), held(~of_context)
+        same = np.r_[token[1:] == token[:-1], False]
+        until = np.where(same, np.r_[k[1:], 0], k)
+        steps = until - k
+        own = np.flatnonzero((c > 0) & (steps > 0))
+        token, c, w, steps, until = token[own], c[own].astype(float), w[own].astype(float), steps[own], until[own]
+        first = np.maximum.accumulate(np.where(np.r_[True, token[1:] != token[:-1]], np.arange(len(token)), 0)) if len(token) else token
+        turn = np.arange(len(token)) - first
+        order = np.argsort(turn, kind="stable")
+        ends = np.cumsum(np.bincount(turn)) if len(turn) else []
+        at = 0
+        for end in ends:
+            s = order[at:end]
+            at = end
+            j, x = token[s], log[token[s]]
+            none = w[s] == 0
+            x[none] += steps[s][none] * np.log(alpha / (c[s][none] + alpha))
+            some = s[~none]
+            q = np.exp(x[~none])
+            for step in range(int(min(_STEPS, steps[some].max(initial=0)))):
+                q = np.where(steps[some] > step, (w[some] + alpha * q) / (c[some] + alpha), q)
+            x[~none] = np.log(q)
+            log[j], context[j] = x, until[s] - 1
+        return log, context
+
+
+def _row(chunk: int, asked: int, c: Chunk) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([asked], pa.int64()), pa.array([len(c.at)], pa.int64()), pa.array([_pack(c)], pa.binary())], ["chunk", "asked", "tokens", "state"])
+
+
+def _chunks(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, k = TaskContext.get().partitionId() << 32, 0
+        held: list[tuple[list, np.ndarray, np.ndarray]] = []
+        tokens = 0
+
+        def made() -> pa.RecordBatch:
+            c = Chunk([i for ids, _, _ in held for i in ids], np.concatenate([s for _, s, _ in held]), np.concatenate([h for _, _, h in held]))
+            return _row(own + k, len(c.at), c)
+
+        for b in batches:
+            ids = b.column(0).to_pylist()
+            for at, col in tk.slices(b.column(1)):
+                h, row = tk.token_hashes(col)
+                sizes = np.bincount(row, minlength=len(col)).astype(np.int64)
+                ends = np.cumsum(sizes)
+                lo = 0
+                while lo < len(col):  # a chunk ends between texts
+                    base = int(ends[lo] - sizes[lo])
+                    hi = max(lo + 1, int(np.searchsorted(ends, base + size - tokens, side="right")))
+                    some = np.flatnonzero(sizes[lo:hi]) + lo
+                    if len(some):
+                        held.append(([ids[at + r] for r in some], sizes[some], h[base : int(ends[hi - 1])]))
+                        tokens += int(ends[hi - 1]) - base
+                    if tokens >= size or hi < len(col):
+                        if held:
+                            yield made()
+                        held, tokens, k = [], 0, k + 1
+                    lo = hi
+        if held:
+            yield made()
+
+    return run
+
+
+def _ask(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
+        for b in batches:
+            for chunk, state in zip(b.column(0).to_pylist(), b.column(1)):
+                h, n = _unpack(state.as_py()).request()
+                cuts = np.r_[0, np.searchsorted(h, edges), len(h)]
+                some = np.flatnonzero(cuts[1:] > cuts[:-1])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(some.astype(np.int32)), pa.array(np.full(len(some), chunk), pa.int64()),
+                    pa.array([h[cuts[k] : cuts[k + 1]].tobytes() for k in some], pa.binary()), pa.array([n[cuts[k] : cuts[k + 1]].astype(np.int32).tobytes() for k in some], pa.binary())],
+                    ["bucket", "chunk", "hashes", "counts"])
+
+    return run
+
+
+def _sum(asked: pa.Table) -> pa.Table:
+    hashes = [np.frombuffer(x.as_py(), np.uint64) for x in asked.column("hashes")]
+    counts = np.concatenate([np.frombuffer(x.as_py(), np.int32) for x in asked.column("counts")])
+    h = np.concatenate(hashes)
+    order = np.argsort(h, kind="stable")
+    head = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
+    total = np.empty(len(h), np.int64)
+    total[order] = np.repeat(np.add.reduceat(counts[order].astype(np.int64), head), np.diff(np.r_[head, len(h)]))
+    ends = np.cumsum([len(x) for x in hashes])
+    out = [_pack(total[e - len(x) : e].astype(np.uint32)) for x, e in zip(hashes, ends)]
+    return pa.table([asked.column("chunk"), asked.column("bucket"), pa.array(out, pa.binary())], ["chunk", "bucket", "totals"])
+
+
+def _take(states: pa.Table, replies: pa.Table) -> pa.Table:
+    c = _unpack(states.column("state")[0].as_py())
+    totals = [_unpack(x.as_py()) for x in replies.sort_by("bucket").column("totals")]
+    asked = c.answer(np.concatenate([np.zeros(0, np.int64), *totals]).astype(np.int64))
+    return pa.Table.from_batches([_row(states.column("chunk")[0].as_py(), asked, c)])
+
+
+def score_each(docs: DataFrame, *, alpha: float = 0.5, chunk_tokens: int = CHUNK_TOKENS, bucket_tokens: int = BUCKET_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, log_prob, bits_per_token, mean_context, longest_context) of every text, by all other texts of docs.
+
+    As ngram_lm.score with docs as the corpus, but occurrences in the text itself, and its tokens, don't
+    count.  Copies of it in other rows do.  Runs of tokens are compared by 64-bit hashes; the driver holds
+    none of them.
+
+    Defined cases: a null or empty text is left out; one with a null id counts for the others but isn't
+    returned; rows that repeat an id are texts of their own, scored each; a text without others has
+    probability 1; an empty table gives an empty result; other columns are not read.
+    """
+    spark = docs.sparkSession
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("length(text) > 0")
+    state = cut(texts.mapInArrow(_chunks(chunk_tokens), _STATE))
+    tokens, asked = state.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("asked"), F.lit(0))).first()
+    buckets = max(shuffle_partitions(spark), -(-tokens // bucket_tokens))
+    while asked:
+        sums = state.select("chunk", "state").mapInArrow(_ask(buckets), "bucket int, chunk long, hashes binary, counts binary").groupBy("bucket").applyInArrow(_sum, "chunk long, bucket int, totals binary")
+        state = cut(state.groupBy("chunk").cogroup(sums.groupBy("chunk")).applyInArrow(_take, _STATE))
+        asked = state.agg(F.sum("asked")).first()[0]
+        spark.sparkContext._jvm.System.gc()  # the files of earlier rounds go
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column(0):
+                c = _unpack(x.as_py())
+                row, _ = c.rows()
+                log, context = c.scores(tokens, alpha)
+                total = np.bincount(row, log, len(c.sizes))
+                longest = np.maximum.reduceat(context, np.cumsum(c.sizes) - c.sizes)
+                cols = [pa.array(c.ids, pa.int64()), pa.array(c.sizes.astype(np.int32)), pa.array(total), pa.array(-total / c.sizes / np.log(2)), pa.array(np.bincount(row, context, len(c.sizes)) / c.sizes), pa.array(longest.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "log_prob", "bits_per_token", "mean_context", "longest_context"])
+
+    return state.select("state").mapInArrow(finish, "doc_id long, n_tokens int, log_prob double, bits_per_token double, mean_context double, longest_context int").where("doc_id is not null")

@@ -1,0 +1,55 @@
+import math
+import random
+
+import pytest
+
+from tarnwick.llm import corpus_lm, queries
+
+
+def brute(texts, alpha=0.5):
+    """log_prob and longest context of every text, by counts of all grams of the others."""
+    words, out = [t.lower().split() for t in texts], []
+    for own, w in enumerate(words):
+        others = [x for k, x in enumerate(words) if k != own]
+        grams = {}
+        for x in others:
+            for i in range(len(x)):
+                for j in range(i + 1, len(x) + 1):
+                    grams[tuple(x[i:j])] = grams.get(tuple(x[i:j]), 0) + 1
+        logs, longest = 0.0, 0
+        for j, token in enumerate(w):
+            p, k = max(grams.get((token,), 0), 1) / (sum(map(len, others)) + 1), 0
+            while k < j and (c := grams.get(tuple(w[j - k - 1 : j]), 0)):
+                k += 1
+                p = (grams.get(tuple(w[j - k : j + 1]), 0) + alpha * p) / (c + alpha)
+            logs, longest = logs + math.log(p), max(longest, k)
+        out.append((len(w), pytest.approx(logs), longest))
+    return out
+
+
+@pytest.mark.parametrize("more", [{}, {"chunk_tokens": 60, "bucket_tokens": 50}])
+def test_each_text_by_the_others(spark, more):
+    r = random.Random(5)
+    base = [r.choice("abcdef") for _ in range(70)]
+    texts = [" ".join(base), " ".join(base), " ".join(base[5:60]), " ".join([*base[:33], "Z", *base[33:]]), " ".join([*base[20:50], "y", *base[20:50]])]
+    texts += ["q " * 40, "q " * 23, "never seen", "B", "c"] + [" ".join(r.choice("abcdefgh") for _ in range(r.randrange(1, 40))) for _ in range(8)]
+    rows = [(k, t, 1) for k, t in enumerate(texts)] + [(98, None, 1), (99, "", 1), (97, " \n", 1)]
+    got = {x["doc_id"]: (x["n_tokens"], x["log_prob"], x["longest_context"]) for x in corpus_lm.score_each(spark.createDataFrame(rows, "doc_id long, text string, n_tokens int").repartition(3), **more).collect()}
+    want = brute(texts)
+    assert sorted(got) == list(range(len(texts)))
+    for k, x in enumerate(want):
+        assert got[k] == x
+
+
+def test_scores_of_one_text_none_and_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a b")], "doc_id long, text string")
+    assert [x["doc_id"] for x in corpus_lm.score_each(df).collect()] == [1, 1]
+    assert corpus_lm.score_each(df.limit(0)).count() == 0
+    assert corpus_lm.score_each(df.limit(1)).first()["log_prob"] == 0.0
+
+
+def test_op9_scores_the_documents(spark, tmp_path):
+    docs = spark.createDataFrame([(7, "a b c"), (8, "a b d")], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "a")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert sorted(x[0] for x in queries.op9_lm_scoring(spark, str(tmp_path)).collect()) == [7, 8]
