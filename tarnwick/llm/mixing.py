@@ -19,6 +19,8 @@ from tarnwick.llm.session import cut
 
 #: Documents that one flight takes, about.
 BLOCK = 50_000
+#: The default budget, as a share of all tokens of the sources that are drawn from.
+BUDGET_SHARE = 1.0
 _EPS = 1e-9
 
 
@@ -136,8 +138,9 @@ def sample(docs: DataFrame, *, weights: dict[str, float] | None = None, alpha: f
     """(doc_id, source, n_tokens) of a balanced sample in which sources have the target weights by tokens.
 
     weights: shares by source, which need not sum to 1; by default in proportion to tokens ** alpha.
-    budget: tokens to draw; by default as many as the scarcest source allows without a repeated document.
-    A source with too few tokens for its share comes whole; one with weight 0, or not named, not at all.
+    budget: tokens to draw; by default BUDGET_SHARE, all, of the tokens of the sources that have a weight.
+    A source with too few tokens for its share comes whole, and the others' draws don't depend on it, so
+    that less than the budget is drawn; one with weight 0, or not named, comes not at all.
     In every source the sample's documents and tokens differ from their expectation by less than the
     landing's few documents.
 
@@ -151,8 +154,7 @@ def sample(docs: DataFrame, *, weights: dict[str, float] | None = None, alpha: f
     totals = {r["src"]: float(r["tokens"]) for r in rows}
     shares = target_weights(totals, alpha) if weights is None else {s: w for s, w in weights.items() if s in totals and w > 0 and totals[s] > 0}
     scale = sum(shares.values()) or 1.0
-    most = min((totals[s] * scale / w for s, w in shares.items()), default=0.0)
-    draw = most if budget is None else budget
+    draw = BUDGET_SHARE * sum(totals[s] for s in shares) if budget is None else budget
     spark = docs.sparkSession
     plan = [(r["src"], min(1.0, draw * shares.get(r["src"], 0.0) / scale / totals[r["src"]]) if totals[r["src"]] else float(weights is None), max(1, -(-r["n"] // block))) for r in rows]
     plan = spark.createDataFrame(plan, "s string, pi double, blocks long")

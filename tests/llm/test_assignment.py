@@ -55,6 +55,19 @@ def test_mixing_edges(spark, docs):
     assert only_ids(docs, whole.select("doc_id"), broadcast_bytes=0).count() == kept.count()
 
 
+def test_a_rare_source_leaves_the_others_alone(spark):
+    rows = [(i, "w " * 20, f"s{i % 3}") for i in range(600)] + [(600, "w " * 5, None)]
+    out = mixing.sample(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sum(r["n_tokens"] for r in out) > 0.9 * 12_005 and 600 in {r["doc_id"] for r in out}
+    even = [r for r in rows if r[2]]
+    rich = even + [(1000 + i, "w " * 20, "rich") for i in range(5000)]
+    tokens = Counter()
+    for r in mixing.sample(spark.createDataFrame(rich, "doc_id long, text string, source string")).collect():
+        tokens[r["source"]] += r["n_tokens"]
+    share = 5000**0.5 / (5000**0.5 + 3 * 200**0.5)
+    assert tokens["rich"] == pytest.approx(112_000 * share, abs=60) and tokens["s0"] == 4000
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.dictionaries(st.integers(1, 40), st.integers(1, 60), min_size=1, max_size=12))
 def test_patterns_hold_every_piece(hist):
