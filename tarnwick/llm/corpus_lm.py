@@ -11,6 +11,7 @@ n log n numbers and not n * n.
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwick.llm import textkernel as tk
-from tarnwick.llm.session import cut, shuffle_partitions
+from tarnwick.llm.session import checkpoint_dir, shuffle_partitions
 
 CHUNK_TOKENS, BUCKET_TOKENS = 1_000_000, 3_000_000
 #: Longest run of tokens that is asked for one token at a time.
@@ -263,13 +264,24 @@ def score_each(docs: DataFrame, *, alpha: float = 0.5, chunk_tokens: int = CHUNK
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("length(text) > 0")
-    state = cut(texts.mapInArrow(_chunks(chunk_tokens), _STATE))
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/corpus-lm-{uuid.uuid4().hex}"
+
+    def kept(df: DataFrame, k: int) -> DataFrame:
+        """df from files: a checkpoint would keep its estimated size, which a cogroup squares in each round."""
+        df.write.parquet(f"{folder}/{k}")
+        return spark.read.schema(_STATE).parquet(f"{folder}/{k}")
+
+    rounds = 0
+    state = kept(texts.mapInArrow(_chunks(chunk_tokens), _STATE), rounds)
     tokens, asked = state.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("asked"), F.lit(0))).first()
     buckets = max(shuffle_partitions(spark), -(-tokens // bucket_tokens))
     while asked:
         sums = state.select("chunk", "state").mapInArrow(_ask(buckets), "bucket int, chunk long, hashes binary, counts binary").groupBy("bucket").applyInArrow(_sum, "chunk long, bucket int, totals binary")
-        state = cut(state.groupBy("chunk").cogroup(sums.groupBy("chunk")).applyInArrow(_take, _STATE))
+        rounds += 1
+        state = kept(state.groupBy("chunk").cogroup(sums.groupBy("chunk")).applyInArrow(_take, _STATE), rounds)
         asked = state.agg(F.sum("asked")).first()[0]
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{rounds - 1}")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
         spark.sparkContext._jvm.System.gc()  # the files of earlier rounds go
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
