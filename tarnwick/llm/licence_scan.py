@@ -22,6 +22,7 @@ TEMPLATES = {
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
+    "all-rights-notice": "All rights reserved.",
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
@@ -129,13 +130,13 @@ class Scanner:
         ids = np.searchsorted(self.vocabulary, h)
         self.tokens = [ids[row == k].tolist() for k in range(len(self.names))]
         self.automaton = SuffixAutomaton(self.tokens)
-        grams = [self._grams(h[row == k]) for k in range(len(self.names))]
-        self.grams = tk.sorted_unique(np.concatenate([np.zeros(0, np.uint64), *grams]))
+        self.least = [min(min_match, len(t)) for t in self.tokens]
+        self.grams = {n: tk.sorted_unique(np.concatenate([self._grams(h[row == k], n) for k, m in enumerate(self.least) if m == n])) for n in sorted(set(self.least) - {0})}
 
-    def _grams(self, h: np.ndarray) -> np.ndarray:
-        m = max(0, len(h) - self.min_match + 1)
+    def _grams(self, h: np.ndarray, n: int) -> np.ndarray:
+        m = max(0, len(h) - n + 1)
         g = h[:m].copy()
-        for k in range(1, self.min_match):
+        for k in range(1, n):
             g = g * np.uint64(0x9FB21C651E98DF25) + h[k : k + m]
         return g
 
@@ -144,10 +145,12 @@ class Scanner:
         stats = self.automaton.matching_statistics(text)
         found: dict[int, list[tuple[int, int, int]]] = {}
         for i, (n, s) in enumerate(stats):
-            if n < self.min_match or (i + 1 < len(stats) and stats[i + 1][0] == n + 1):
+            if i + 1 < len(stats) and stats[i + 1][0] == n + 1:
                 continue
-            while s and n >= self.min_match:  # shorter runs at this end may occur in more templates
+            while s and n >= min(self.grams):  # shorter runs at this end may occur in more templates
                 for k, end in self.automaton.occurs[s]:
+                    if n < self.least[k]:
+                        continue
                     found.setdefault(k, []).append((at + i + 1 - n, end - n, n))
                 s = self.automaton.link[s]
                 n = self.automaton.length[s]
@@ -156,22 +159,25 @@ class Scanner:
     def scan(self, col: pa.Array) -> list[tuple[int, int, int, int, int]]:
         """(row, template, start, end, tokens covered) of every span that covers enough of its template.
 
-        Only runs of tokens that hold min_match tokens in a row of some template go through the automaton:
-        no match of that length lies elsewhere.
+        Only runs of tokens that hold the shortest match of some template go through the automaton: no
+        match lies elsewhere.
         """
         h, row = tk.token_hashes(col, tk.ALNUM)
-        if len(h) < self.min_match or not len(self.grams):
-            return []
-        g = self._grams(h)
-        where = np.minimum(np.searchsorted(self.grams, g), len(self.grams) - 1)
-        hit = np.flatnonzero((self.grams[where] == g) & (row[: len(g)] == row[self.min_match - 1 :]))
+        inside = np.zeros(len(h) + 1, np.int64)
+        for n, grams in self.grams.items():
+            g = self._grams(h, n)
+            where = np.minimum(np.searchsorted(grams, g), len(grams) - 1)
+            hit = np.flatnonzero((grams[where] == g) & (row[: len(g)] == row[n - 1 :])) if len(g) else np.zeros(0, np.int64)
+            inside[hit] += 1
+            np.subtract.at(inside, hit + n, 1)
+        hit = np.flatnonzero(np.cumsum(inside)[:-1])
         if not len(hit):
             return []
         first = np.searchsorted(row, np.arange(len(col)))
         cut = np.flatnonzero(np.r_[True, (hit[1:] > hit[:-1] + 1) | (row[hit][1:] != row[hit][:-1])])
         by: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
         for a, b in zip(cut, np.r_[cut[1:], len(hit)]):
-            start, end = int(hit[a]), int(hit[b - 1]) + self.min_match
+            start, end = int(hit[a]), int(hit[b - 1]) + 1
             r = int(row[start])
             for k, x, y, n in self.spans(np.searchsorted(self.vocabulary, h[start:end]).tolist(), start - int(first[r])):
                 by.setdefault((r, k), []).append((x, y, n))
@@ -188,9 +194,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, *, min_match:
     """(doc_id, licence, start, end, covered, coverage) of every covered template span in every text.
 
     Tokens are runs of letters and digits, in lower case; start and end count tokens of the text, and
-    coverage is the share of the template's tokens.  min_match is the shortest match, min_cover the least
-    coverage, gap the most tokens of text between two matches of a span.  A template of fewer than
-    min_match tokens is never found.  Spans of different templates may overlap.
+    coverage is the share of the template's tokens.  min_match is the shortest match (of a shorter
+    template, its whole length), min_cover the least coverage, gap the most tokens of text between two
+    matches of a span.  Spans of different templates may overlap.
 
     Defined cases: null and empty texts have no span; a null id is carried as it is; repeated rows give
     repeated spans; an empty table, or no template, gives an empty result; other columns are not read.

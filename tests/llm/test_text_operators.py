@@ -80,6 +80,12 @@ def test_licence_scan(spark, docs):
     assert licence_scan.scan(docs.limit(0)).count() == 0 and licence_scan.scan(docs, {}).count() == 0
 
 
+def test_a_short_template():
+    own = licence_scan.Scanner(licence_scan.TEMPLATES)
+    found = own.scan(pa.array(["words. All rights reserved. more words", "all rights"]))
+    assert sorted((r, own.names[k], a, b) for r, k, a, b, _ in found) == [(0, "all-rights-notice", 1, 4)]
+
+
 def test_decision_list():
     import numpy as np
 
