@@ -145,12 +145,10 @@ class Scanner:
         stats = self.automaton.matching_statistics(text)
         found: dict[int, list[tuple[int, int, int]]] = {}
         for i, (n, s) in enumerate(stats):
-            if i + 1 < len(stats) and stats[i + 1][0] == n + 1:
-                continue
             while s and n >= min(self.grams):  # shorter runs at this end may occur in more templates
                 for k, end in self.automaton.occurs[s]:
-                    if n < self.least[k]:
-                        continue
+                    if n < self.least[k] or (i + 1 < len(text) and end < len(self.tokens[k]) and self.tokens[k][end] == text[i + 1]):
+                        continue  # too short for the template, or its occurrence goes on
                     found.setdefault(k, []).append((at + i + 1 - n, end - n, n))
                 s = self.automaton.link[s]
                 n = self.automaton.length[s]

@@ -80,10 +80,12 @@ def test_licence_scan(spark, docs):
     assert licence_scan.scan(docs.limit(0)).count() == 0 and licence_scan.scan(docs, {}).count() == 0
 
 
-def test_a_short_template():
+def test_short_and_nested_templates():
     own = licence_scan.Scanner(licence_scan.TEMPLATES)
-    found = own.scan(pa.array(["words. All rights reserved. more words", "all rights"]))
-    assert sorted((r, own.names[k], a, b) for r, k, a, b, _ in found) == [(0, "all-rights-notice", 1, 4)]
+    found = own.scan(pa.array(["words. All rights reserved. more words", licence_scan.TEMPLATES["all-rights"], "all rights"]))
+    assert sorted((r, own.names[k], a, b) for r, k, a, b, _ in found) == [(0, "all-rights-notice", 1, 4), (1, "all-rights", 0, 15), (1, "all-rights-notice", 0, 3)]
+    nested = licence_scan.Scanner({"B": "p q r s", "A": "p q r s t u"})
+    assert sorted(x[1:] for x in nested.scan(pa.array(["x p q r s t u y"]))) == [(0, 1, 5, 4), (1, 1, 7, 6)]
 
 
 def test_decision_list():
