@@ -16,27 +16,28 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(_table(spark, sf_dir, "documents")).withColumn("jaccard", F.round("jaccard", 6))
+    return jaccard_join(_table(spark, sf_dir, "documents"))
 
 
 OP3_SQL = """
-WITH words AS (
+WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(string_split_regex(lower(text), '[ \\t\\n\\f\\r]+'), lambda x: x <> '') AS w
   FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 grams AS (
   SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
     ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS g
   FROM words WHERE len(w) > 0),
-sets AS (SELECT g, min(doc_id) AS rep FROM grams GROUP BY g),
-copies AS (SELECT DISTINCT rep, doc_id FROM grams JOIN sets USING (g) WHERE doc_id > rep),
+own AS (SELECT DISTINCT doc_id, g FROM grams),
+sets AS (SELECT g, min(doc_id) AS rep, count(*) AS copies FROM own GROUP BY g),
 flat AS (SELECT rep, len(g) AS n, unnest(g) AS gram FROM sets),
 pairs AS (
-  SELECT a.rep AS doc_a, b.rep AS doc_b, count(*) AS inter, any_value(a.n) AS na, any_value(b.n) AS nb
-  FROM flat a JOIN flat b ON a.gram = b.gram AND a.rep < b.rep GROUP BY 1, 2)
-SELECT rep AS doc_a, doc_id AS doc_b, 1.0::DOUBLE AS jaccard FROM copies
-UNION ALL
-SELECT doc_a, doc_b, round(inter::DOUBLE / (na + nb - inter), 6) AS jaccard FROM pairs
-WHERE inter::DOUBLE / (na + nb - inter) >= 0.5 - 1e-12
+  SELECT a.rep AS x, b.rep AS y FROM flat a JOIN flat b ON a.gram = b.gram AND a.rep <> b.rep
+  GROUP BY 1, 2 HAVING count(*)::DOUBLE / (any_value(a.n) + any_value(b.n) - count(*)) >= 0.5 - 1e-12),
+reach(node, root) AS (SELECT rep, rep FROM sets UNION SELECT y, root FROM reach JOIN pairs ON node = x),
+classes AS (SELECT node, min(root) AS class_id FROM reach GROUP BY node),
+links AS (SELECT x, count(*) AS links FROM pairs GROUP BY x)
+SELECT doc_id, class_id, copies, coalesce(links, 0) AS links
+FROM own JOIN sets USING (g) JOIN classes ON node = rep LEFT JOIN links ON x = rep
 """
 
 

@@ -32,3 +32,24 @@ def only_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", broadcast_
     ids = ids.toDF("__kept")
     small = ids.count() * 16 <= broadcast_bytes
     return docs.join(F.broadcast(ids) if small else ids, docs[id_col] == ids["__kept"], "left_semi")
+
+
+#: A key is hot that has more than one in so many of the rows; so there are no more hot keys than this.
+HOT_SHARE = 1000
+
+
+def join_unique(left: DataFrame, right: DataFrame, key: str, other: str, how: str = "inner", row_bytes: int = 48, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """left joined (inner or left) with right, which has one row for each value of other, where key = other.
+
+    right is broadcast if it is small enough.  Otherwise hot keys of left, of which there are HOT_SHARE at
+    most, are joined with a broadcast of their rows in right, and all others by a shuffle.  right is read
+    more than once, and left is when right is large.
+    """
+    if right.count() * row_bytes <= broadcast_bytes:
+        return left.join(F.broadcast(right), F.col(key) == F.col(other), how)
+    most = max(1, left.count() // HOT_SHARE)
+    hot = [r[0] for r in left.groupBy(key).count().where(F.col("count") > most).where(F.col(key).isNotNull()).select(key).collect()]
+    if not hot:
+        return left.join(right, F.col(key) == F.col(other), how)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    return left.where(is_hot).join(F.broadcast(right.where(F.col(other).isin(hot))), F.col(key) == F.col(other), how).unionByName(left.where(~is_hot).join(right, F.col(key) == F.col(other), how))
