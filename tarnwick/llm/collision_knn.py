@@ -2,23 +2,29 @@
 
 Every vector is projected on a number of random directions, and each projection is kept as one sorted
 array.  A query opens a window around its own value in every array; radius by radius (virtual
-rehashing) the windows grow, and only the new ends are read.  A vector that lies in enough windows is
-verified by its distance.  The search ends when k verified vectors lie within the radius.
+rehashing, over the powers of one number) the windows grow, and only the new ends are read.  A vector
+that lies in enough windows is verified by its distance.  The search ends when k verified vectors lie
+within the radius.
+
+Vectors are indexed in shards of about index_rows; a block of queries meets a shard in a task of its
+own, whatever the number of vectors.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwick.llm.session import BROADCAST_BYTES
-
-#: Vectors of one index; more of them make more indexes.
-INDEX_ROWS = 100_000
+#: Vectors of one index, and queries that meet it in one task, about.
+INDEX_ROWS, QUERY_ROWS = 8192, 4096
+#: Partitions at most; a task takes several pairs of a shard and a block beyond that, one after another.
+MOST_TASKS = 10_000
 
 
 def threshold(projections: int, share: float = 0.6827, miss: float = 0.06) -> int:
@@ -34,129 +40,137 @@ def threshold(projections: int, share: float = 0.6827, miss: float = 0.06) -> in
 
 class CollisionIndex:
     def __init__(self, vectors: np.ndarray, projections: int = 60, growth: float = 1.15, miss: float = 0.06, seed: int = 3):
-        self.x = np.ascontiguousarray(vectors, np.float32)
+        largest = float(np.abs(vectors).max(initial=0))
+        self.exact, self.scale = vectors, largest if largest > 1e15 else 1.0  # squares of larger floats overflow
+        self.x = (vectors / np.float32(self.scale)).astype(np.float32)
         self.square = (self.x.astype(np.float64) ** 2).sum(1)
         r = np.random.default_rng(seed)
         self.a = r.standard_normal((vectors.shape[1], projections)).astype(np.float32)
         p = self.x @ self.a
         self.order = [np.argsort(p[:, j], kind="stable") for j in range(projections)]
-        self.sorted = [p[o, j] for j, o in enumerate(self.order)]
+        self.sorted = [np.ascontiguousarray(p[o, j]) for j, o in enumerate(self.order)]
         self.growth, self.asked = growth, threshold(projections, miss=miss)
         spread = float(np.sqrt(2 * self.x.astype(np.float64).var(0).sum())) if len(self.x) else 0.0
-        self.radius = spread / 4 if spread > 0 else 1.0
+        self.first = math.floor(math.log(spread / 4, growth)) if spread > 0 else 0
 
-    def search(self, q: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, distances) of up to k neighbours of q, nearest first, ties by row; skip is the query's own row."""
+    def search(self, queries: np.ndarray, k: int, skip: np.ndarray | None = None, at_once: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(rows, distances) of up to k neighbours of each query, nearest first, ties by row; skip has the query's own row, or -1."""
         n = len(self.x)
-        k = min(k, n - (skip >= 0))
-        if k <= 0:
-            return np.zeros(0, np.int64), np.zeros(0)
-        h = q.astype(np.float32) @ self.a
-        m = len(self.order)
-        lo = np.array([np.searchsorted(s, v) for s, v in zip(self.sorted, h)])
-        hi = lo.copy()
-        count = np.zeros(n, np.int64)
-        dist = np.full(n, np.inf)
-        seen = np.zeros(n, bool)
+        skip = np.full(len(queries), -1) if skip is None else skip
+        for at in range(0, len(queries), at_once):
+            q = (queries[at : at + at_once] / self.scale).astype(np.float32)
+            h = q @ self.a
+            if n:
+                far = max(float(max(np.abs(h[:, j] - s[0]).max(), np.abs(h[:, j] - s[-1]).max())) for j, s in enumerate(self.sorted))
+                steps = max(0, math.ceil(math.log(max(far, 1e-30), self.growth)) - self.first) + 1
+                radii = self.growth ** (self.first + np.arange(steps, dtype=float))
+                lo = np.stack([np.searchsorted(s, (h[:, j, None] - radii).astype(np.float32), "left") for j, s in enumerate(self.sorted)], 2)
+                hi = np.stack([np.searchsorted(s, (h[:, j, None] + radii).astype(np.float32), "right") for j, s in enumerate(self.sorted)], 2)
+            for i in range(len(q)):
+                own = int(skip[at + i])
+                most = min(k, n - (own >= 0))
+                yield self._one(q[i], queries[at + i], most, own, radii, lo[i], hi[i]) if most > 0 else (np.zeros(0, np.int64), np.zeros(0))
+
+    def _one(self, q: np.ndarray, given: np.ndarray, k: int, skip: int, radii: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(self.x)
+        count, dist, seen = np.zeros(n, np.int64), np.full(n, np.inf), np.zeros(n, bool)
         if skip >= 0:
             seen[skip] = True
-        square, radius, q64 = float((q.astype(np.float64) ** 2).sum()), self.radius, q.astype(np.float32)
-        while True:
-            parts = []
-            for j in range(m):
-                s = self.sorted[j]
-                a, b = np.searchsorted(s, h[j] - radius, "left"), np.searchsorted(s, h[j] + radius, "right")
-                if a < lo[j]:
-                    parts.append(self.order[j][a : lo[j]])
-                if b > hi[j]:
-                    parts.append(self.order[j][hi[j] : b])
-                lo[j], hi[j] = min(a, lo[j]), max(b, hi[j])
-            if parts:
-                count += np.bincount(np.concatenate(parts), minlength=n)
-            new = np.flatnonzero((count >= self.asked) & ~seen)
+        square = float((q.astype(np.float64) ** 2).sum())
+        left = right = None
+        for t, radius in enumerate(radii):
+            a, b = lo[t].tolist(), hi[t].tolist()
+            if left is None:
+                parts = [o[x:y] for o, x, y in zip(self.order, a, b)]
+            else:
+                parts = [o[x:y] for o, x, y in zip(self.order, a, left)] + [o[x:y] for o, x, y in zip(self.order, right, b)]
+            left, right = a, b
+            count += np.bincount(np.concatenate(parts), minlength=n)
+            last = t == len(radii) - 1  # every window holds all vectors: whatever is left is verified
+            new = np.flatnonzero(~seen if last else (count >= self.asked) & ~seen)
             if len(new):
                 seen[new] = True
-                dist[new] = np.sqrt(np.maximum(self.square[new] + square - 2.0 * (self.x[new] @ q64), 0))
-            if int((dist <= radius).sum()) >= k or int(seen.sum()) == n:
-                break
-            radius *= self.growth
-            if (hi - lo == n).all():  # every window holds all vectors: whatever is left is verified
-                rest = np.flatnonzero(~seen)
-                seen[rest] = True
-                dist[rest] = np.sqrt(np.maximum(self.square[rest] + square - 2.0 * (self.x[rest] @ q64), 0))
+                dist[new] = np.sqrt(np.maximum(self.square[new] + square - 2.0 * (self.x[new] @ q), 0))
+            if np.count_nonzero(dist <= radius) >= k:
                 break
         near = np.argpartition(dist, k - 1)[:k] if k < n else np.arange(n)
         near = np.flatnonzero(dist <= dist[near].max())
         near = near[np.isfinite(dist[near])]
-        exact = np.sqrt(((self.x[near].astype(np.float64) - q.astype(np.float64)) ** 2).sum(1))
+        exact = np.sqrt(((self.exact[near].astype(np.float64) - given.astype(np.float64)) ** 2).sum(1))
         top = np.lexsort((near, exact))[:k]
         return near[top], exact[top]
 
 
-def neighbours(vectors: DataFrame, k: int = 10, *, projections: int = 60, miss: float = 0.06, index_rows: int = INDEX_ROWS, seed: int = 3, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, neighbour_id, rank, distance): the k nearest other vectors of every vector, by Euclidean distance.
-
-    rank counts from 1; ties go to the smaller id.  miss bounds the probability with which a vector at the
-    final radius is overlooked in an index; nearer ones are overlooked less.  One index of up to index_rows
-    vectors (fewer where they are long) is broadcast.  More vectors make several indexes: each block of
-    queries meets each index in a task of its own, and the answers are merged.
-
-    Defined cases: rows with a null id or vector, a null or non-finite element, or another length than the
-    longest vector, are left out; rows that repeat an id are one vector, the first by its elements; equal
-    vectors under different ids are neighbours at distance 0; with k or fewer vectors every other one is
-    an answer; an empty table gives an empty result; other columns are not read.
+def _clean(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("v")).where("vec_id is not null and size(v) > 0")
+    return own.where(F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))).groupBy("vec_id").agg(F.min("v").alias("v"))
+
+
+def _by_width(ids: np.ndarray, col: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, ids, matrix) of the vectors of each length."""
+    width = pc.list_value_length(col).to_numpy(zero_copy_only=False)
+    for w in np.unique(width):
+        own = np.flatnonzero(width == w)
+        yield int(w), ids[own], np.asarray(col.take(pa.array(own)).flatten(), np.float32).reshape(len(own), int(w))
+
+
+def _search_pass(k: int, **options):
+    """Rows (vec_id, neighbour_id, distance) of the queries; input is sorted by group, vectors of the shard first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, index = None, [], {}
+        for b in batches:
+            of, kind = b.column(0).to_numpy(), b.column(1).to_numpy()
+            cuts = np.r_[0, np.flatnonzero((of[1:] != of[:-1]) | (kind[1:] != kind[:-1])) + 1, len(of)] if len(of) else [0]
+            for x, y in zip(cuts[:-1], cuts[1:]):
+                if of[x] != group:
+                    group, held, index = of[x], [], {}
+                ids, col = b.column(2).to_numpy()[x:y], b.column(3).slice(x, y - x)
+                if not kind[x]:
+                    held.append((ids, col))
+                    continue
+                if held:
+                    for w, i, m in _by_width(np.concatenate([h[0] for h in held]), pa.concat_arrays([h[1] for h in held])):
+                        order = np.argsort(i, kind="stable")
+                        index[w] = (i[order], CollisionIndex(m[order], **options))
+                    held = []
+                for w, i, m in _by_width(ids, col):
+                    if w in index:
+                        known, own = index[w]
+                        at = np.minimum(np.searchsorted(known, i), len(known) - 1)
+                        found = list(own.search(m, k, np.where(known[at] == i, at, -1)))
+                        near = np.concatenate([f[0] for f in found])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(i, [len(f[0]) for f in found])), pa.array(known[near]), pa.array(np.concatenate([f[1] for f in found]))], ["vec_id", "neighbour_id", "distance"])
+
+    return run
+
+
+def neighbours(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, *, projections: int = 60, miss: float = 0.06, index_rows: int = INDEX_ROWS, query_rows: int = QUERY_ROWS, seed: int = 3, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(vec_id, neighbour_id, rank, distance): the k nearest other vectors of every query, by Euclidean distance.
+
+    queries is a table like vectors, by default vectors itself; a query's own id is no answer.  rank counts
+    from 1; ties go to the smaller id.  miss bounds the probability with which a vector at the final radius
+    is overlooked in a shard; nearer ones are overlooked less.  Every vector is indexed, and every shard
+    answers every query, so that the answers of a shard are merged by rank only.
+
+    Defined cases: rows with a null id or vector, no element, or a null or non-finite element, are left out;
+    vectors are compared with those of their own length only; rows that repeat an id are one vector, the
+    first by its elements; equal vectors under different ids are neighbours at distance 0; with k or fewer
+    other vectors every one is an answer; an empty table gives an empty result; very long vectors take as
+    many numbers as they have; other columns are not read.
     """
-    spark = vectors.sparkSession
-    v = F.col(vector_col).cast("array<float>")
-    own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and size(v) > 0")
-    own = own.where(F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))).groupBy("vec_id").agg(F.min("v").alias("v"))
-    schema = "vec_id long, neighbour_id long, rank int, distance double"
-    stats = own.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
-    if not stats["n"]:
-        return spark.createDataFrame([], schema)
-    own = own.where(F.size("v") == stats["width"])
-    rows = max(k + 1, min(index_rows, BROADCAST_BYTES // (4 * stats["width"] + 8)))
-    shards = -(-stats["n"] // rows)
-
-    def answer(ids: np.ndarray, x: np.ndarray, asked: pa.Array, qs: np.ndarray, index: CollisionIndex) -> pa.Table:
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        for item, q in zip(asked.to_pylist(), qs):
-            at = int(np.searchsorted(ids, item))
-            near, d = index.search(q, k, at if at < len(ids) and ids[at] == item else -1)
-            out.append((np.full(len(near), item), ids[near], d))
-        return pa.table([pa.array(np.concatenate([o[c] for o in out])) for c in range(3)], ["vec_id", "neighbour_id", "distance"])
-
-    found_as = "vec_id long, neighbour_id long, distance double"
-    if shards == 1:
-        part = own.orderBy("vec_id").toArrow()
-        held = spark.sparkContext.broadcast((part.column(0).to_numpy(), _matrix(part.column(1))))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, x = held.value
-            index = CollisionIndex(x, projections, miss=miss, seed=seed)
-            for b in batches:
-                yield from answer(ids, x, b.column(0), _matrix(b.column(1)), index).to_batches()
-
-        cores = spark.sparkContext.defaultParallelism
-        found = own.repartition(max(cores, min(-(-stats["n"] // 512), 4 * cores)), "vec_id").mapInArrow(run, found_as)
-    else:
-
-        def pair(indexed: pa.Table, asked: pa.Table) -> pa.Table:
-            indexed = indexed.sort_by("vec_id")
-            ids, x = indexed.column("vec_id").to_numpy(), _matrix(indexed.column("v"))
-            return answer(ids, x, asked.column("vec_id"), _matrix(asked.column("v")), CollisionIndex(x, projections, miss=miss, seed=seed))
-
-        every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-        piece = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
-        left = own.select("vec_id", "v", piece.alias("shard"), every.alias("block")).groupBy("shard", "block")
-        right = own.select(F.col("vec_id").alias("vec_id"), F.col("v").alias("v"), piece.alias("block"), every.alias("shard")).groupBy("shard", "block")
-        found = left.cogroup(right).applyInArrow(pair, found_as)
+    own = _clean(vectors, id_col, vector_col)
+    asked = own if queries is None else _clean(queries, id_col, vector_col)
+    n, m = own.count(), asked.count() if queries is not None else None
+    shards, blocks = max(1, -(-n // index_rows)), max(1, -(-(n if m is None else m) // query_rows))
+    shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("long")
+    block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("long")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = own.select("vec_id", "v", shard.alias("shard"), every(blocks).alias("block"), F.lit(0).alias("asked"))
+    right = asked.select("vec_id", "v", every(shards).alias("shard"), block.alias("block"), F.lit(1).alias("asked"))
+    rows = left.unionByName(right).select((F.col("shard") * blocks + F.col("block")).alias("grp"), "asked", "vec_id", "v")
+    parts = min(shards * blocks, MOST_TASKS)
+    rows = rows.repartitionById(parts, F.pmod("grp", F.lit(parts)).cast("int")).sortWithinPartitions("grp", "asked")
+    found = rows.mapInArrow(_search_pass(k, projections=projections, miss=miss, seed=seed), "vec_id long, neighbour_id long, distance double")
     order = Window.partitionBy("vec_id").orderBy("distance", "neighbour_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("vec_id", "neighbour_id", "rank", "distance")
-
-
-def _matrix(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """Rows of a column of arrays that are all of one length."""
-    if isinstance(col, pa.ChunkedArray):
-        col = col.combine_chunks()
-    return np.asarray(col.flatten(), np.float32).reshape(len(col), -1) if len(col) else np.zeros((0, 1), np.float32)
