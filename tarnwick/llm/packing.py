@@ -43,15 +43,22 @@ def knapsack(value: np.ndarray, size: np.ndarray, capacity: int) -> tuple[float,
     return float(best[capacity]), out
 
 
-def column_generation(size: np.ndarray, demand: np.ndarray, capacity: int, max_rounds: int = 5000) -> tuple[np.ndarray, np.ndarray]:
-    """(patterns [pattern, class], how often) of the linear program: as few sequences as possible, each class met exactly."""
+def column_generation(size: np.ndarray, demand: np.ndarray, capacity: int, patience: int = 1000) -> tuple[np.ndarray, np.ndarray, float]:
+    """(patterns [pattern, class], how often, bound) of the linear program: as few sequences as possible, each class met exactly.
+
+    It ends when no pattern is worth more than a sequence, or when patience rounds in a row (of degenerate
+    steps) gained nothing.  bound is never above the program's optimum, however it ends: the greatest of
+    the duals' value over the worth of the best pattern.
+    """
     m = len(size)
     pattern = np.diag(capacity // size).astype(np.int64)
     inverse = np.diag(1.0 / np.diag(pattern))
     x = demand / np.diag(pattern)
-    for k in range(max_rounds):
+    bound, best, idle, k = 0.0, np.inf, 0, 0
+    while idle < patience:
         dual = inverse.sum(0)
         worth, new = knapsack(dual, size, capacity)
+        bound = max(bound, float(np.maximum(dual, 0) @ demand) / max(worth, 1.0) if (dual >= -1e-9).all() else 0.0)
         if worth <= 1 + 1e-7:
             break
         d = inverse @ new
@@ -65,18 +72,21 @@ def column_generation(size: np.ndarray, demand: np.ndarray, capacity: int, max_r
         row = inverse[out] / d[out]
         inverse -= np.outer(d, row)
         inverse[out] = row
-        if k % 50 == 49:
+        k += 1
+        if k % 50 == 0:
             inverse = np.linalg.inv(pattern.T.astype(float))
             x = np.maximum(inverse @ demand, 0)
-    return pattern, np.maximum(x, 0) if m else x
+        now = float(x.sum())
+        best, idle = (now, 0) if now < best * (1 - 1e-12) else (best, idle + 1)
+    return pattern, np.maximum(x, 0) if m else x, max(bound, float(demand @ size) / capacity)
 
 
 def integer_patterns(size: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """(patterns, copies, bound): whole numbers that hold every piece; bound is the linear program's optimum."""
+    """(patterns, copies, bound): whole numbers that hold every piece; no other way takes fewer than bound."""
     size, demand = np.asarray(size, np.int64), np.asarray(demand, np.int64)
     if not len(size):
         return np.zeros((0, 0), np.int64), np.zeros(0, np.int64), 0.0
-    pattern, x = column_generation(size, demand, capacity)
+    pattern, x, bound = column_generation(size, demand, capacity)
     times = np.floor(x + 1e-6).astype(np.int64)
     left = demand - pattern.T @ times
     for k in np.flatnonzero(times > 0):  # only a rounding error above could overfill a class
@@ -96,7 +106,7 @@ def integer_patterns(size: np.ndarray, demand: np.ndarray, capacity: int) -> tup
         left = left - copies * own
     keep = times > 0
     patterns = np.concatenate([pattern[keep], np.array([p for p, _ in more], np.int64).reshape(-1, len(size))])
-    return patterns, np.r_[times[keep], np.array([n for _, n in more], np.int64)], float(x.sum())
+    return patterns, np.r_[times[keep], np.array([n for _, n in more], np.int64)], bound
 
 
 def pack(docs: DataFrame, *, capacity: int = 2048, classes: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -104,20 +114,22 @@ def pack(docs: DataFrame, *, capacity: int = 2048, classes: int = 256, id_col: s
 
     A document is its tokens and an end mark; it is cut into pieces of capacity tokens and a rest, and
     every piece lies whole in one sequence, from position on.  Lengths are rounded up to a multiple of
-    capacity / classes for the program only, so a sequence never holds more than its capacity.
+    capacity / classes for the program only, so a sequence never holds more than its capacity.  The
+    table of patterns that is broadcast has at most 2 * classes rows of classes numbers, for any input.
 
-    Defined cases: an empty text is one piece of length 1, its end mark; a null text has no piece; a null
-    id is carried as it is; repeated rows are packed each; an empty table gives an empty result; other
-    columns are not read.
+    Defined cases: an empty text is one piece of length 1, its end mark; a null text has no piece; a very
+    long text has as many pieces as it takes; a null id is carried as it is; repeated rows are packed
+    each, and pieces of one length and id go in no particular order; an empty table gives an empty result;
+    other columns, whatever their names, are not read.
     """
-    grain = -(-capacity // classes)
+    classes = min(classes, capacity)
     own = with_tokens(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")).select("doc_id", (F.col("n_tokens") + 1).alias("total"))
     pieces = own.select("doc_id", "total", F.explode(F.sequence(F.lit(0), F.ceil(F.col("total") / capacity) - 1)).alias("piece"))
     pieces = pieces.select("doc_id", "piece", (F.col("piece") * capacity).alias("doc_start"), F.least(F.lit(capacity), F.col("total") - F.col("piece") * capacity).cast("int").alias("length"))
-    pieces = cut(pieces.withColumn("class", F.ceil(F.col("length") / grain).cast("int")))
+    pieces = cut(pieces.withColumn("class", F.ceil(F.col("length") * classes / capacity).cast("int")))
     rows = sorted((r["class"], r["count"]) for r in pieces.groupBy("class").count().collect())
     size, demand = (np.array([r[k] for r in rows], np.int64) for k in range(2))
-    patterns, copies, _ = integer_patterns(size, demand, capacity // grain)
+    patterns, copies, _ = integer_patterns(size, demand, classes)
     first = np.cumsum(copies) - copies
     table = docs.sparkSession.sparkContext.broadcast((size, patterns, first, np.cumsum(patterns * copies[:, None], 0)))
 
