@@ -8,6 +8,8 @@ block left undecided, and at last on one small table by source, where the landin
 rest with one constraint less at a time.
 """
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -15,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwick.llm import textkernel as tk
+from tarnwick.llm.ranks import join_unique
 from tarnwick.llm.session import cut
 
 #: Documents that one flight takes, about.
@@ -104,7 +107,7 @@ def landing(pi: np.ndarray, a: np.ndarray, r: np.random.Generator) -> np.ndarray
 
 
 def _seeded(seed: int, *key) -> np.random.Generator:
-    return np.random.Generator(np.random.Philox(key=[seed, *(int.from_bytes(str(key).encode()[-8:], "little"),)]))
+    return np.random.Generator(np.random.Philox(key=[seed, int.from_bytes(hashlib.blake2b(str(key).encode(), digest_size=8).digest(), "little")]))
 
 
 def _flight_of(seed: int, level: int, land: bool):
@@ -128,44 +131,46 @@ def with_tokens(docs: DataFrame, text_col: str = "text", name: str = "n_tokens")
     return docs.withColumn(name, F.arrow_udf(run, "long")(F.col(text_col)))
 
 
-def target_weights(totals: dict[str, float], alpha: float) -> dict[str, float]:
-    """Weights in proportion to tokens ** alpha: 1 keeps the mixture, 0 makes all sources alike."""
-    raw = {s: t**alpha for s, t in totals.items() if t > 0}
-    return {s: x / sum(raw.values()) for s, x in raw.items()}
-
-
 def sample(docs: DataFrame, *, weights: dict[str, float] | None = None, alpha: float = 0.5, budget: float | None = None, seed: int = 17, block: int = BLOCK, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """(doc_id, source, n_tokens) of a balanced sample in which sources have the target weights by tokens.
 
-    weights: shares by source, which need not sum to 1; by default in proportion to tokens ** alpha.
+    weights: shares by source, which need not sum to 1; by default in proportion to tokens ** alpha, where
+    alpha = 1 keeps the mixture and 0 makes all sources alike.
     budget: tokens to draw; by default BUDGET_SHARE, all, of the tokens of the sources that have a weight.
     A source with too few tokens for its share comes whole, and the others' draws don't depend on it, so
     that less than the budget is drawn; one with weight 0, or not named, comes not at all.
-    In every source the sample's documents and tokens differ from their expectation by less than the
-    landing's few documents.
+    block: documents that one flight takes, at least 8.  The draw depends on it as on the seed, but not what
+    is balanced: in every source the sample's documents and tokens differ from their expectation by less
+    than the landing's two documents, however many blocks there are.
 
     Defined cases: rows that repeat an id are one unit with their tokens summed; rows with a null id are
     never drawn; a null source counts as one named ""; a null text has no tokens but may be drawn, as an
-    empty one; an empty table gives an empty sample; other columns are not read.
+    empty one, and so may others of equal length, which are alike to the draw; a very long text is one
+    unit; an empty table gives an empty sample; other columns, whatever their names, are not read.
     """
+    if block < 8:
+        raise ValueError("a block of less than 8 documents may leave as many undecided as it takes")
     units = with_tokens(docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(source_col), F.lit("")).alias("src"), F.col(text_col).alias("text")).where("id is not null"))
     units = cut(units.groupBy("id").agg(F.min("src").alias("src"), F.sum("n_tokens").alias("tokens")))
-    rows = units.groupBy("src").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).collect()
-    totals = {r["src"]: float(r["tokens"]) for r in rows}
-    shares = target_weights(totals, alpha) if weights is None else {s: w for s, w in weights.items() if s in totals and w > 0 and totals[s] > 0}
-    scale = sum(shares.values()) or 1.0
-    draw = BUDGET_SHARE * sum(totals[s] for s in shares) if budget is None else budget
-    spark = docs.sparkSession
-    plan = [(r["src"], min(1.0, draw * shares.get(r["src"], 0.0) / scale / totals[r["src"]]) if totals[r["src"]] else float(weights is None), max(1, -(-r["n"] // block))) for r in rows]
-    plan = spark.createDataFrame(plan, "s string, pi double, blocks long")
-    left = units.join(F.broadcast(plan), F.col("src") == F.col("s")).select("id", "src", "tokens", "pi", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"))
+    by = cut(units.groupBy(F.col("src").alias("s")).agg(F.sum("tokens").alias("total"), F.count("*").alias("n")))
+    if weights is None:
+        share = F.when(F.col("total") > 0, F.pow(F.col("total").cast("double"), F.lit(float(alpha)))).otherwise(0.0)
+        by = by.withColumn("share", share)
+    else:
+        given = docs.sparkSession.createDataFrame([(s, float(w)) for s, w in weights.items() if w > 0], "named string, share double")
+        by = by.join(given, F.col("s") == F.col("named"), "left").select("s", "total", "n", F.coalesce("share", F.lit(0.0)).alias("share"))
+    whole = by.agg(F.sum(F.when(F.col("total") > 0, F.col("share"))).alias("share"), F.sum(F.when(F.col("share") > 0, F.col("total"))).alias("tokens"), F.max("n").alias("most")).first()
+    scale, draw = whole["share"] or 1.0, BUDGET_SHARE * (whole["tokens"] or 0) if budget is None else budget
+    pi = F.when(F.col("total") > 0, F.least(F.lit(1.0), F.lit(float(draw)) * F.col("share") / F.lit(float(scale)) / F.col("total"))).otherwise(float(weights is None))
+    plan = cut(by.select("s", pi.alias("pi"), F.ceil(F.col("n") / block).alias("blocks")))
+    left = join_unique(units, plan, "src", "s").select("id", "src", "tokens", "pi", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"))
     schema, level, decided = "id long, src string, tokens long, pi double", 0, []
-    most = max((r["n"] for r in rows), default=0)
+    most = whole["most"] or 0
     while most > block:  # each block leaves at most two documents undecided
         done = cut(left.groupBy("src", "block").applyInPandas(_flight_of(seed, level, False), schema))
         decided.append(done.where("pi = 1"))
         undecided = done.where("pi > 0 and pi < 1")
-        most = max((r["count"] for r in undecided.groupBy("src").count().collect()), default=0)
+        most = undecided.groupBy("src").count().agg(F.max("count")).first()[0] or 0
         level += 1
         left = undecided.withColumn("block", F.pmod(F.xxhash64("id", F.lit(level)), F.lit(max(1, -(-most // block)))))
     done = left.groupBy("src").applyInPandas(_flight_of(seed, level, True), schema)

@@ -30,7 +30,7 @@ def test_inclusion_probabilities_are_met():
     assert total / 4000 == pytest.approx(pi, abs=0.03)
 
 
-@pytest.mark.parametrize("block", [50_000, 40])
+@pytest.mark.parametrize("block", [50_000, 40, 8])
 def test_sources_reach_their_weights(spark, block):
     rows = [(i, "w " * (5 + i * 7 % 40), f"s{i % 3 if i % 5 else 0}") for i in range(900)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -43,6 +43,39 @@ def test_sources_reach_their_weights(spark, block):
     assert tokens["s0"] == pytest.approx(4000, abs=100) and tokens["s1"] == pytest.approx(2000, abs=100) and tokens["s2"] == pytest.approx(2000, abs=100)
 
 
+def brute_flight(pi, size, draws):
+    """The cube method step by step, as flight_two does it, with null vectors from a singular value decomposition."""
+    pi, k = [float(x) for x in pi], 0
+    queue = [i for i, x in enumerate(pi) if 0 < x < 1]
+    own, queue = queue[:3], queue[3:]
+    while len(own) == 3:
+        a = np.array([[1.0] * 3, [size[i] for i in own]])
+        u = np.array([1.0, -1.0, 0.0]) if len({size[i] for i in own}) == 1 else np.linalg.svd(a)[2][-1]
+        u = u * np.sign(np.cross(a[0], a[1]) @ u or 1.0)
+        up = min((1 - pi[i]) / c if c > 0 else -pi[i] / c for c, i in zip(u, own) if abs(c) > 1e-12)
+        down = min(pi[i] / c if c > 0 else (pi[i] - 1) / c for c, i in zip(u, own) if abs(c) > 1e-12)
+        step = up if draws[k] * (up + down) < down else -down
+        k += 1
+        for c, i in zip(u, own):
+            pi[i] = min(1.0, max(0.0, round(pi[i] + step * c, 9)))
+        own = [i for i in own if 0 < pi[i] < 1]
+        own, queue = own + queue[: 3 - len(own)], queue[3 - len(own) :]
+    return pi
+
+
+def test_flight_by_brute_force():
+    for seed in range(20):
+        r = np.random.default_rng(seed)
+        pi, size = r.uniform(0.05, 0.95, 30), r.integers(1, 9, 30)
+        draws = np.random.default_rng(seed + 100).random(33).tolist()
+        assert mixing.flight_two(pi, size, np.random.default_rng(seed + 100)) == pytest.approx(brute_flight(pi, size, draws), abs=1e-6)
+
+
+def test_blocks_of_too_few_documents_are_refused(spark, docs):
+    with pytest.raises(ValueError):
+        mixing.sample(docs, block=7)
+
+
 def test_mixing_edges(spark, docs):
     assert mixing.sample(docs.limit(0)).count() == 0
     out = mixing.sample(docs, weights={"src0": 1.0, "nowhere": 5.0}).collect()
@@ -78,6 +111,33 @@ def test_patterns_hold_every_piece(hist):
     assert copies.sum() <= bound + len(size) + 1
 
 
+@settings(max_examples=25, deadline=None)
+@given(st.integers(1, 90), st.integers(1, 40), st.lists(st.integers(0, 300), min_size=1, max_size=30))
+def test_any_capacity_and_classes(spark, capacity, classes, lengths):
+    """Every piece has a class that the program can hold, whatever the capacity and the number of classes."""
+    k = min(classes, capacity)
+    pieces = [min(capacity, n + 1 - at) for n in lengths for at in range(0, n + 1, capacity)]
+    own = Counter(-(-n * k // capacity) for n in pieces)
+    size, demand = np.array(sorted(own)), np.array([own[c] for c in sorted(own)])
+    patterns, copies, bound = packing.integer_patterns(size, demand, k)
+    assert (patterns.T @ copies == demand).all() and (patterns @ size <= k).all() and copies.sum() >= bound - 1e-6
+
+
+def test_a_capacity_that_is_no_multiple(spark):
+    df = spark.createDataFrame([(k, "w " * n) for k, n in enumerate([2046, 2047, 5000, 7, 0, 1023, 1023])], "doc_id long, text string")
+    out = packing.pack(df, capacity=2047, classes=256).collect()
+    load = Counter()
+    for r in out:
+        load[r["sequence"]] += r["length"]
+    assert max(load.values()) <= 2047 and sum(load.values()) == 2046 + 2047 + 5000 + 7 + 2046 + 7
+
+
+def test_the_bound_holds_however_the_program_ends():
+    size, demand = np.array([3, 5, 7, 11, 13]), np.array([50, 41, 37, 29, 23])
+    ends = [packing.column_generation(size, demand, 26, patience)[1:] for patience in (1, 1000)]
+    assert all(bound <= ends[1][0].sum() + 1e-6 for _, bound in ends) and ends[1][1] == pytest.approx(ends[1][0].sum(), rel=1e-6)
+
+
 def test_knapsack_by_brute_force():
     import itertools
 
@@ -122,9 +182,35 @@ def test_schedule_is_longest_first(hist, shards):
     assert (out.sum(1) == counts).all() and sorted(sizes @ out) == sorted(x for x, _ in heap)
 
 
-@pytest.mark.parametrize("more", [{}, {"broadcast_bytes": 0}])
-def test_sharding_keeps_groups_together(spark, docs, more):
-    out = sharding.shard(docs, F.md5("text"), F.octet_length("text"), shards=4, **more)
+def test_size_classes(spark):
+    sizes = [0, 1, 511, 512, 513, 1023, 1024, 1025, 10**6 + 1, 2**40 + 1, 2**62 - 3]
+    for r in spark.createDataFrame([(n,) for n in sizes], "n long").select("n", sharding.size_class(F.col("n")).alias("c")).collect():
+        assert r["n"] <= r["c"] <= r["n"] * (1 + 1 / 256) and (r["n"] >= 512 or r["c"] == r["n"])
+        assert len(bin(r["c"])[2:].rstrip("0")) <= 9
+
+
+def test_shards_are_balanced_as_by_a_heap(spark):
+    import heapq
+
+    rows = [(k, f"g{k % 300}", 1 + (k * 7919) % 5000) for k in range(900)] + [(1000, "big", 400_000), (1001, None, 9), (1002, None, -5), (1002, None, None)]
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id long, g string, n int"), F.col("g"), F.col("n"), shards=7)
+    size, load, at = Counter(), Counter(), {}
+    for i, g, n in rows:
+        size[g or f"id:{i}"] += max(0, n or 0)
+    for r in out.collect():
+        assert at.setdefault(r["group_id"], r["shard"]) == r["shard"]
+    assert at.keys() == size.keys()
+    heap = [(0, k) for k in range(7)]
+    for n in sorted(size.values(), reverse=True):
+        x, k = heapq.heappop(heap)
+        heapq.heappush(heap, (x + n, k))
+    for g, k in at.items():
+        load[k] += size[g]
+    assert max(load.values()) <= max(x for x, _ in heap) * (1 + 1 / 256) + 1
+
+
+def test_sharding_keeps_groups_together(spark, docs):
+    out = sharding.shard(docs, F.md5("text"), F.octet_length("text"), shards=4)
     rows = out.collect()
     assert len(rows) == docs.count()
     by = {}
