@@ -45,7 +45,7 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, other: str, how: st
     most, are joined with a broadcast of their rows in right, and all others by a shuffle.  right is read
     more than once, and left is when right is large.
     """
-    if right.count() * row_bytes <= broadcast_bytes:
+    if broadcast_bytes and right.count() * row_bytes <= broadcast_bytes:
         return left.join(F.broadcast(right), F.col(key) == F.col(other), how)
     most = max(1, left.count() // HOT_SHARE)
     hot = [r[0] for r in left.groupBy(key).count().where(F.col("count") > most).where(F.col(key).isNotNull()).select(key).collect()]
