@@ -10,19 +10,22 @@ regular expressions.  Rules without such a token run on every URL.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwick.llm.session import BROADCAST_BYTES
 
+#: Rules about kinds of pages, and names of services, as public lists have them.  Any others can be given instead.
 DEFAULT_RULES = (
-    "||cheap-pills.example.^", "||cheap-pills.*/", "||spam-farm.example.org^", "||spam-farm.*", "||casino^", "||casino.example.^", "||adserver.*^", "||ads.example.^", "||doubleclick.example.^",
-    "/ads/*", "/banner/*", "/popup^", "/redirect?url=", "/track/*", "/pixel.gif|", "/affiliate/*", "/login^", "/signup^", "/cart^", "/checkout^", "/wp-admin/*", "/cgi-bin/*", "/search?q=",
-    "?utm_source=feed|", "&utm_campaign=", "?sessionid=", "&sid=", "?page=2&ref=x|", "?page=2&ref=", "#top|", ".html|", ".exe|", ".zip|", ".pdf|",
-    "||m.ththha.example.org^", "||m.thernd.example.com/de/", "||blog.tionble.example.com/es/*", "||ththing.example.com/fr/", "|http://www.ththwh.", "/de/1*.html|", "porn", "xxx", "*viagra*", "free-download",
-    "@@||blog.thernt.example.net^", "@@/en/7*/|", "@@||www.therth.example.org^", "@@||ththly.example.org/en/",
+    "||doubleclick.net^", "||googlesyndication.com^", "||adserver.*^", "||ads.*^", "||casino*^", "||tracker.*^", "||cdn.ads.*^", "||popads.net^", "||login.*^", "||mail.*^",
+    "/ads/*", "/banner/*", "/popup^", "/redirect?url=", "/track/*", "/pixel.gif|", "/affiliate/*", "/login^", "/signup^", "/cart^", "/checkout^", "/wp-admin/*", "/cgi-bin/*", "/search?q=", "/tag/*", "/feed/|", "/print/*",
+    "?utm_source=feed|", "&utm_campaign=", "?utm_source=", "?sessionid=", "&sid=", "?ref=", "&ref=", "?page=", "?replytocom=", "#top|", "#comment-", ".exe|", ".zip|", ".pdf|", ".jpg|", ".php?id=",
+    "porn", "xxx", "*viagra*", "*casino-bonus*", "free-download", "|ftp://", "//www2.", ":8080/",
+    "@@||archive.org^", "@@/docs/", "@@/wiki/*", "@@/about|",
 )
 
 TOKEN = "[a-z0-9]+"
@@ -62,52 +65,59 @@ def compile_rules(patterns: tuple[str, ...] = DEFAULT_RULES) -> list[Rule]:
     return [compile_rule(k, p) for k, p in enumerate(patterns)]
 
 
-def _urls(pages: DataFrame, id_col: str, url_col: str) -> DataFrame:
-    url = F.lower(F.col(url_col))
-    return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), url.alias("u"), F.array_distinct(F.regexp_extract_all(url, F.lit(TOKEN), F.lit(0))).alias("tokens"))
+def rarest_tokens(urls: DataFrame, rules: list[Rule]) -> dict[str | None, list[Rule]]:
+    """The rules by their rarest token; by None those that have none.
 
-
-def rule_index(spark: SparkSession, urls: DataFrame, rules: list[Rule]) -> DataFrame:
-    """(token, rule_id, block, regex): each rule under its rarest token; token is null where it has none.
-
-    The rules' tokens are counted over all URLs (urls has a column tokens); ties go to the token that comes first.
+    The rules' tokens are counted over all URLs (the column u), in each of which a token counts once; ties go
+    to the token that comes first in its rule.  Counts are added before they are shuffled, and there is one for each
+    token of a rule at most.
     """
     words = sorted({t for r in rules for t in r.tokens})
     count: dict[str, int] = {}
     if words:
-        known = spark.createDataFrame([(w,) for w in words], "word string")
-        seen = urls.select(F.explode("tokens").alias("word")).join(_shared(known, sum(map(len, words)) + 16 * len(words)), "word").groupBy("word").count()
+        spark = urls.sparkSession
+        tokens = urls.select(F.explode(F.array_distinct(F.regexp_extract_all("u", F.lit(TOKEN), F.lit(0)))).alias("word"))
+        known = spark.createDataFrame([(w,) for w in words], "known string")
+        size = sum(map(len, words)) + 16 * len(words)
+        seen = tokens.join(F.broadcast(known) if size <= BROADCAST_BYTES else known, F.col("word") == F.col("known"), "left_semi").groupBy("word").count()
         count = {r["word"]: r["count"] for r in seen.collect()}
-    rows = [(min(r.tokens, key=lambda t: count.get(t, 0)) if r.tokens else None, r.rule_id, r.block, r.regex) for r in rules]
-    return spark.createDataFrame(rows, "token string, rule_id int, block boolean, regex string")
-
-
-def _shared(df: DataFrame, size: int) -> DataFrame:
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+    index: dict[str | None, list[Rule]] = {}
+    for r in rules:
+        index.setdefault(min(r.tokens, key=lambda t: count.get(t, 0)) if r.tokens else None, []).append(r)
+    return index
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule] | None = None, *, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """(page_id, url, blocked, rules): every distinct pair of id and URL, and the ids of all rules that match it, in order.
+    """(page_id, url, blocked, rules) of every row: the ids of all rules that match its URL, in order.
 
-    blocked: a blocking rule matches, and no exception does.
+    blocked: a blocking rule matches, and no exception does.  The tokens of a URL fetch its candidates from
+    the index of rules, which is broadcast (its size is that of the rules), in the task that reads the
+    row, so no row is shuffled.
 
     Defined cases: a null or empty URL has no tokens; a null one matches no rule, an empty one only those
-    that match the empty text; a null id is carried as it is; repeated rows are one; an empty table gives
-    an empty result; without rules nothing is blocked; other columns are not read.
+    that match the empty text; a null id is carried as it is; repeated rows are answered each; a very long
+    URL is matched whole; rules that are alike match each; an empty table gives an empty result; without
+    rules nothing is blocked; other columns, whatever their names, are not read.
     """
-    spark = pages.sparkSession
     rules = compile_rules() if rules is None else rules
-    urls = _urls(pages, id_col, url_col)
-    index = rule_index(spark, urls, rules)
-    size = sum(len(r.regex) + 64 for r in rules)
-    by_token, always = index.where("token is not null"), index.where("token is null").drop("token")
-    fetched = urls.select("page_id", "url", "u", F.explode("tokens").alias("token")).join(_shared(by_token, size), "token").drop("token")
-    both = fetched.unionByName(urls.select("page_id", "url", "u").join(_shared(always, size), F.col("u").isNotNull()))
-    hits = both.where(F.regexp_like("u", F.col("regex")))
-    every = urls.select("page_id", "url", F.lit(None).cast("int").alias("rule_id"), F.lit(None).cast("boolean").alias("block"))
-    found = hits.select("page_id", "url", "rule_id", "block").unionByName(every).groupBy("page_id", "url")
-    out = found.agg(F.coalesce(F.bool_or("block"), F.lit(False)).alias("any"), F.coalesce(F.bool_and("block"), F.lit(True)).alias("all"), F.array_sort(F.collect_set("rule_id")).alias("rules"))
-    return out.select("page_id", "url", (F.col("any") & F.col("all")).alias("blocked"), "rules")
+    urls = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.lower(F.col(url_col)).alias("u"))
+    index = pages.sparkSession.sparkContext.broadcast(rarest_tokens(urls, rules))
+    token = re.compile(TOKEN)
+
+    def matched(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        by = {t: [(r.rule_id, r.block, re.compile(r.regex)) for r in own] for t, own in index.value.items()}
+        always = by.get(None, [])
+        for b in batches:
+            blocked, found = [], []
+            for u in b.to_pylist():
+                candidates = [] if u is None else [*always, *(r for t in set(token.findall(u)) & by.keys() for r in by[t])]
+                hits = [r for r in candidates if r[2].search(u)]
+                blocked.append(any(r[1] for r in hits) and all(r[1] for r in hits))
+                found.append(sorted(r[0] for r in hits))
+            yield pa.StructArray.from_arrays([pa.array(blocked, pa.bool_()), pa.array(found, pa.list_(pa.int32()))], ["blocked", "rules"])
+
+    out = urls.withColumn("m", F.arrow_udf(matched, "struct<blocked boolean, rules array<int>>")("u"))
+    return out.select("page_id", "url", "m.blocked", "m.rules")
 
 
 def oracle(rules: list[Rule]) -> str:
@@ -116,9 +126,9 @@ def oracle(rules: list[Rule]) -> str:
     values = ", ".join(f"({r.rule_id}, {str(r.block).lower()}, {quote(r.regex)})" for r in rules)
     return f"""
 WITH rules(rule_id, block, regex) AS (VALUES {values}),
-urls AS (SELECT DISTINCT page_id, url FROM pages),
-hits AS (SELECT page_id, url, rule_id, block FROM urls LEFT JOIN rules ON regexp_matches(lower(url), regex))
+urls AS (SELECT row_number() OVER () AS k, page_id, url FROM pages),
+hits AS (SELECT k, page_id, url, rule_id, block FROM urls LEFT JOIN rules ON regexp_matches(lower(url), regex))
 SELECT page_id, url, coalesce(bool_or(block), false) AND coalesce(bool_and(block), true) AS blocked,
-  coalesce(list_sort(list(DISTINCT rule_id) FILTER (WHERE rule_id IS NOT NULL)), []) AS rules
-FROM hits GROUP BY page_id, url
+  coalesce(list_sort(list(rule_id) FILTER (WHERE rule_id IS NOT NULL)), []) AS rules
+FROM hits GROUP BY k, page_id, url
 """
