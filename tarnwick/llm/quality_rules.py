@@ -19,18 +19,23 @@ def _kept(text: Column, keep: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{keep}]++", ""))
 
 
+_CLASSES = {"symbols": "#$%&*+<=>@^_`~\\\\{}\\[\\]\\/", "bars": "|", "bangs": "!?", "capitals": "A-ZÀ-Þ", "digits": "0-9"}
+
+
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with a struct stats of numbers about the text, all in whole-stage code; null for a null text.
 
-    Ratios of an empty text are 0.  A column of docs named stats is replaced.
+    Ratios of an empty text are 0.  A text is rewritten once, to the few characters of any class, and the
+    classes are counted in what is left.  A column of docs named stats is replaced.
     """
     text = F.col(text_col)
-    base = docs.withColumn("stats", F.struct(F.length(text).alias("n"), F.regexp_count(text, F.lit("\\n")).alias("breaks"), F.filter(F.split(text, "[ \\n\\t\\r\\f]+"), lambda w: w != "").alias("words")))
-    n, words = F.greatest(F.col("stats.n"), F.lit(1)).cast("double"), F.col("stats.words")
+    rest = F.regexp_replace(text, f"[^{''.join(_CLASSES.values())}]++", "")
+    words = F.filter(F.split(text, "[ \\n\\t\\r\\f]+"), lambda w: w != "")
+    base = docs.withColumn("stats", F.struct(F.length(text).alias("n"), F.regexp_count(text, F.lit("\\n")).alias("breaks"), words.alias("words"), rest.alias("rest")))
+    n, words, rest = F.greatest(F.col("stats.n"), F.lit(1)).cast("double"), F.col("stats.words"), F.col("stats.rest")
     count = F.greatest(F.size(words), F.lit(1)).cast("double")
-    per_char = {"symbols": _kept(text, "#$%&*+<=>@^_`~\\\\{}\\[\\]\\/"), "bars": _kept(text, "|"), "bangs": _kept(text, "!?"), "capitals": _kept(text, "A-ZÀ-Þ"), "digits": _kept(text, "0-9")}
     fields = [F.col("stats.n").cast("double").alias("chars"), F.size(words).cast("double").alias("words"), (n / count).alias("word_length"), (F.size(F.array_distinct(words)) / count).alias("distinct_words"), (F.col("stats.breaks") / n).alias("breaks")]
-    fields += [(c / n).alias(k) for k, c in per_char.items()]
+    fields += [(_kept(rest, c) / n).alias(k) for k, c in _CLASSES.items()]
     return base.withColumn("stats", F.when(text.isNotNull(), F.struct(*fields)))
 
 
@@ -85,11 +90,11 @@ def _best_condition(x: dict[str, np.ndarray], y: np.ndarray) -> tuple[float, Con
     return best
 
 
-def learn(x: dict[str, np.ndarray], bad: np.ndarray, *, min_precision: float = 0.95, min_cover: int = 3, max_rules: int = 20, max_conditions: int = 6, seed: int = 5) -> list[Rule]:
+def learn(x: dict[str, np.ndarray], bad: np.ndarray, *, min_precision: float = 0.95, min_cover: int = 3, seed: int = 5) -> list[Rule]:
     """Ordered rules for bad rows; what no rule covers is good.
 
-    Each rule is grown on two thirds of the rows that are left until it covers no good row, then loses
-    its last conditions as long as that raises (p - n) / (p + n) on the other third.  Learning ends with
+    Each rule is grown on two thirds of the rows that are left until it covers no good row or no threshold
+    gains, then loses its last conditions as long as that raises (p - n) / (p + n) on the other third.  Learning ends with
     the first rule whose precision over all rows left is below min_precision, or which covers fewer than
     min_cover.  Rows with a statistic that is not finite are left out; without rows of both kinds there is no rule.
     """
@@ -99,14 +104,14 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, *, min_precision: float = 0
     rules: list[Rule] = []
     take = lambda rows: {k: v[rows] for k, v in x.items()}
     left = np.arange(len(bad))
-    while len(rules) < max_rules and bad[left].any() and not bad[left].all():
+    while bad[left].any() and not bad[left].all():
         mixed = r.permutation(left)
         kinds = [mixed[bad[mixed]], mixed[~bad[mixed]]]
         grow = np.sort(np.concatenate([k[: -(-2 * len(k) // 3)] for k in kinds]))
         prune = np.sort(np.concatenate([k[-(-2 * len(k) // 3) :] for k in kinds]))
         rule: Rule = ()
         own = grow
-        while len(rule) < max_conditions and not bad[own].all():
+        while not bad[own].all():
             _, c = _best_condition(take(own), bad[own])
             if c is None:
                 break
@@ -129,16 +134,19 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, *, min_precision: float = 0
     return rules
 
 
-def learn_from(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, id_col: str = "doc_id", label_col: str = "quality", **options) -> list[Rule]:
+def learn_from(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **options) -> list[Rule]:
     """Rules from the statistics of at most max_rows labelled documents, those of the least id hash.
 
-    A document is bad where its label is 0; labels that are null, or without a document, are left out.
+    A document is bad where a label of it is 0, also if another is not; labels that are null, or without a
+    document, are left out.  Of rows that repeat an id the text that sorts first is taken.  Empty tables
+    give no rule.
     """
-    sample = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label")).dropna().dropDuplicates(["__id"])
+    sample = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label")).dropna().groupBy("__id").agg(F.min(F.col("__label") != 0).alias("__good"))
     sample = sample.orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
-    own = docs.select(F.col(id_col).alias("__own"), F.col("text")).where("text is not null").join(F.broadcast(sample), F.col("__own") == F.col("__id"))
-    rows = statistics(own.select("__id", "__label", "text")).select("__id", "__label", *(F.col(f"stats.{f}").alias(f) for f in FEATURES)).toPandas().sort_values("__id")
-    return learn({f: rows[f].to_numpy(float) for f in FEATURES}, rows["__label"].to_numpy() == 0, **options)
+    own = docs.select(F.col(id_col).alias("__own"), F.col(text_col).alias("__text")).where("__text is not null").join(F.broadcast(sample), F.col("__own") == F.col("__id"))
+    own = own.groupBy("__id", "__good").agg(F.min("__text").alias("__text"))
+    rows = statistics(own, "__text").select("__id", "__good", *(F.col(f"stats.{f}").alias(f) for f in FEATURES)).toPandas().sort_values("__id")
+    return learn({f: rows[f].to_numpy(float) for f in FEATURES}, ~rows["__good"].to_numpy(bool), **options)
 
 
 def rule_column(rules: list[Rule], stats: str = "stats") -> Column:
@@ -155,6 +163,8 @@ def rule_column(rules: list[Rule], stats: str = "stats") -> Column:
 def judge(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
     """docs with the columns stats, rule (see rule_column) and keep, which is rule = 0.
 
-    So a null text goes, and an empty one is judged by its statistics, which are 0.
+    So a null text goes, and an empty one is judged by its statistics, which are 0; a very long text is
+    judged whole, like any other; rows that repeat are judged alike; columns of docs that are named stats,
+    rule or keep are replaced, all others stay; an empty table stays empty.
     """
     return statistics(docs, text_col).withColumn("rule", rule_column(rules)).withColumn("keep", F.col("rule") == 0)

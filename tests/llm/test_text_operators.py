@@ -116,6 +116,78 @@ def test_quality_rules_in_spark(spark, docs, make_prose):
     assert quality_rules.learn_from(docs.limit(0), labels) == []
 
 
+def brute_learn(x, bad, seed=5):
+    """learn() in plain Python: every threshold of every statistic is tried anew for each condition."""
+    import math
+
+    import numpy as np
+
+    r, rules, left = np.random.default_rng(seed), [], np.arange(len(bad))
+    holds = lambda c, i: x[c[0]][i] > c[2] if c[1] else x[c[0]][i] <= c[2]
+    while bad[left].any() and not bad[left].all():
+        mixed = r.permutation(left).tolist()
+        kinds = [[i for i in mixed if bad[i]], [i for i in mixed if not bad[i]]]
+        grow = [i for k in kinds for i in k[: -(-2 * len(k) // 3)]]
+        prune = [i for k in kinds for i in k[-(-2 * len(k) // 3) :]]
+        rule, own = [], grow
+        while not all(bad[i] for i in own):
+            base, best = math.log2(sum(bool(bad[i]) for i in own) / len(own)), (1e-9, None)
+            for f in x:
+                values = sorted({float(x[f][i]) for i in own})
+                top = (-1.0, None)
+                for above in (False, True):
+                    top = (-1.0, None)
+                    for a, b in zip(values, values[1:]):
+                        hit = [i for i in own if holds((f, above, (a + b) / 2), i)]
+                        p = sum(bool(bad[i]) for i in hit)
+                        gain = p * (math.log2(p / len(hit)) - base) if p else -1.0
+                        if gain > top[0] + 1e-12:
+                            top = (gain, (f, above, (a + b) / 2))
+                    if top[0] > best[0] + 1e-9:
+                        best = top
+            if best[1] is None:
+                break
+            rule.append(best[1])
+            own = [i for i in own if holds(best[1], i)]
+        if not rule:
+            break
+
+        def worth(k):
+            hit = [i for i in prune if all(holds(c, i) for c in rule[:k])]
+            p = sum(bool(bad[i]) for i in hit)
+            return (2 * p - len(hit)) / len(hit) if hit else -1.0
+
+        rule = rule[: max(range(1, len(rule) + 1), key=lambda k: (worth(k), -k))]
+        hit = [i for i in left if all(holds(c, i) for c in rule)]
+        if len(hit) < 3 or sum(bool(bad[i]) for i in hit) / len(hit) < 0.95:
+            break
+        rules.append(tuple(rule))
+        left = np.array([i for i in left if i not in set(hit)], int)
+    return rules
+
+
+def test_learning_by_brute_force():
+    import numpy as np
+
+    found = 0
+    for seed in range(5):
+        r = np.random.default_rng(seed)
+        x = {"a": np.round(r.random(120), 2), "b": np.round(r.random(120), 1), "c": r.random(120)}
+        bad = ((x["a"] > 0.7) & (x["b"] < 0.6)) | (x["c"] > 0.9)
+        got = [tuple((c.feature, c.above, c.threshold) for c in rule) for rule in quality_rules.learn(x, bad)]
+        assert got == [tuple((f, above, pytest.approx(t)) for f, above, t in rule) for rule in brute_learn(x, bad)]
+        found += len(got)
+    assert found >= 3
+
+
+def test_a_contradicting_label_counts_as_bad(spark):
+    docs = spark.createDataFrame([(k, "word " * 20 if k % 2 else "#### " * 20, 1) for k in range(60)], "doc_id long, body string, rule int")
+    labels = docs.selectExpr("doc_id", "doc_id % 2 as quality").union(docs.selectExpr("doc_id", "1"))
+    rules = quality_rules.learn_from(docs, labels, text_col="body")
+    assert {r["doc_id"] % 2 for r in quality_rules.judge(docs, rules, "body").where("keep").collect()} == {1}
+    assert quality_rules.learn_from(docs, labels.limit(0), text_col="body") == []
+
+
 def test_statistics(spark):
     row = quality_rules.statistics(spark.createDataFrame([("AB| 1!\nab ab",)], "text string")).first()["stats"]
     assert (row["chars"], row["words"], row["distinct_words"]) == (12, 4, 0.75)
@@ -140,8 +212,10 @@ def test_url_filter_against_all_rules(spark):
     rules = url_filter.compile_rules((*url_filter.DEFAULT_RULES, "||site.com^", "@@/good/", "*", "a"))
     urls = [(i, u) for i, u in enumerate(["http://site.com/ads/1", "http://site.com/good/ads/", "http://x.org/", None, "", "HTTP://CASINO/A", "not a url", "http://a.b/" + "long/" * 20_000 + "ads/x"])]
     df = spark.createDataFrame([*urls, urls[0], (None, "http://x.org/")], "page_id long, url string")
+    index = url_filter.rarest_tokens(df.selectExpr("lower(url) as u"), url_filter.compile_rules(("/good/ads/", "||site.com^", "*")))
+    assert {t: [r.rule_id for r in own] for t, own in index.items()} == {"good": [0], "site": [1], None: [2]}
     got = {(r["page_id"], r["url"]): (r["blocked"], r["rules"]) for r in url_filter.filter_urls(df.selectExpr("*", "1 token", "2 regex", "3 rule_id"), rules).collect()}
-    assert len(got) == len(urls) + 1
+    assert len(got) == len(urls) + 1 and url_filter.filter_urls(df, rules).count() == len(urls) + 2
     for (_, u), (blocked, found) in got.items():
         hits = [r for r in rules if u is not None and re.search(r.regex, u.lower())]
         assert found == [r.rule_id for r in hits] and blocked == (any(r.block for r in hits) and all(r.block for r in hits))
