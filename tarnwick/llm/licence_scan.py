@@ -7,6 +7,8 @@ are chained, in order both in the text and in the template, into spans that cove
 
 from __future__ import annotations
 
+import bisect
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -95,29 +97,58 @@ def chains(matches: list[tuple[int, int, int]], gap: int) -> list[list[tuple[int
     """Disjoint chains of matches (start in the text, start in the template, length) of one template.
 
     A chain grows in the text and in the template alike, with at most gap tokens of text between matches;
-    it is the one of most tokens, then the earliest, again and again among matches outside the spans found.
+    it is the one of most tokens, then the one whose last match comes first, again and again among the
+    matches outside the spans found; no chain goes over such a span.  A match only looks back as far as a
+    predecessor may lie, and after a chain is taken only the matches that it may have served are solved
+    again, so the work grows with the number of matches.
     """
-    out = []
-    left = sorted(set(matches))
-    while left:
-        best: list[tuple[int, int]] = []
-        for i, (a, b, n) in enumerate(left):
-            top = (n, -1)
-            for j in range(i):
-                x, y, m = left[j]
+    own = sorted(set(matches))
+    starts, longest = [a for a, _, _ in own], max((n for _, _, n in own), default=0)
+    best, back, alive = [0] * len(own), [-1] * len(own), [True] * len(own)
+    ends: list[int] = []  # of the spans found, in order
+
+    def solve(i: int) -> bool:
+        a, b, n = own[i]
+        k = bisect.bisect_right(ends, a)
+        least = max(a - gap - longest, ends[k - 1] if k else 0)
+        top, at, j = n, -1, i - 1
+        while j >= 0 and starts[j] >= least:
+            x, y, m = own[j]
+            if alive[j] and x < a and y < b and a - (x + m) <= gap:
                 over = max(0, x + m - a, y + m - b)
-                if x < a and y < b and over < n and a - (x + m) <= gap and best[j][0] + n - over > top[0]:
-                    top = (best[j][0] + n - over, j)
-            best.append(top)
-        k = max(range(len(left)), key=lambda i: (best[i][0], -i))
+                value = best[j] + n - over
+                if over < n and (value > top or value == top and at >= 0):
+                    top, at = value, j
+            j -= 1
+        changed = (top, at) != (best[i], back[i])
+        best[i], back[i] = top, at
+        return changed
+
+    for i in range(len(own)):
+        solve(i)
+    heap = [(-best[i], i) for i in range(len(own))]
+    heapq.heapify(heap)
+    out = []
+    while heap:
+        w, k = heapq.heappop(heap)
+        if not alive[k] or -w != best[k]:
+            continue
         chain = []
         while k >= 0:
-            chain.append(left[k])
-            k = best[k][1]
+            chain.append(own[k])
+            k = back[k]
         chain.reverse()
         out.append(chain)
         first, last = chain[0][0], max(a + n for a, _, n in chain)
-        left = [x for x in left if x[0] + x[2] <= first or x[0] >= last]
+        for i in range(bisect.bisect_left(starts, first - longest), bisect.bisect_left(starts, last)):
+            alive[i] &= own[i][0] + own[i][2] <= first
+        bisect.insort(ends, last)
+        reach, i = last + longest + gap, bisect.bisect_left(starts, last)
+        while i < len(own) and starts[i] <= reach:
+            if alive[i] and solve(i):
+                reach = max(reach, starts[i] + own[i][2] + gap)
+                heapq.heappush(heap, (-best[i], i))
+            i += 1
     return out
 
 
@@ -196,8 +227,11 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, *, min_match:
     template, its whole length), min_cover the least coverage, gap the most tokens of text between two
     matches of a span.  Spans of different templates may overlap.
 
-    Defined cases: null and empty texts have no span; a null id is carried as it is; repeated rows give
-    repeated spans; an empty table, or no template, gives an empty result; other columns are not read.
+    Defined cases: null and empty texts have no span; a very long text is scanned whole, with work that
+    grows with its length; of chains of equal tokens the one that ends first is taken; a null id is carried
+    as it is; repeated rows give repeated spans; an empty table, or no template, gives an empty result;
+    other columns, whatever their names, are not read.  The automaton is broadcast; it has at most two
+    states for each token of the templates, which the caller holds.
     """
     scanner = docs.sparkSession.sparkContext.broadcast(Scanner(TEMPLATES if templates is None else templates, min_match, min_cover, gap))
 
