@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwick.llm import textkernel as tk
@@ -42,7 +42,10 @@ def windows(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     Windows are as wide as WINDOW plus padding for the widest filter.  An empty text has none.
     """
-    raw, off = tk.raw_buffers(col)
+    return _windows(*tk.raw_buffers(col))
+
+
+def _windows(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = np.diff(off)
     count = -(-n // WINDOW)
     row = np.repeat(np.arange(len(n)), count)
@@ -168,16 +171,22 @@ def _training_windows(texts: list[str], labels: list[int], other: int, per_text:
 
 
 def train(docs: DataFrame, *, max_rows: int = 3000, per_text: int = 3, steps: int = 800, seed: int = 7, text_col: str = "text", label_col: str = "lang") -> ByteConvNet:
-    """Fits the network on at most max_rows labelled texts, those of the least hash, on the driver.
+    """Fits the network on a sample of labelled texts, on the driver.
 
-    Only hashes are sorted to find them; copies of a text count towards max_rows, and are trained on once.
-    Rows without text or label are left out.  The class "und" is trained on strings of digits, symbols
-    and random bytes.  Without any labelled row that is the only class.
+    The sample has max_rows / labels texts of each label (one at least), those of the least hash among its
+    different texts, so that every label becomes a class and copies take no place.  Only hashes are shuffled
+    to find them.  Rows without text or label are left out.  The class "und" is trained on strings of
+    digits, symbols and random bytes; without any labelled row it is the only class.  Of a very long text
+    a few windows are used, at random places of all of it.
     """
     rows = docs.select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label")).where("length(text) > 0 and label is not null")
     rows = rows.withColumn("h", F.xxhash64("text", "label"))
-    most = rows.select("h").orderBy("h").limit(max_rows).agg(F.max("h")).first()[0]
-    rows = rows.where(F.col("h") <= F.lit(most)).groupBy("h", "label").agg(F.min("text").alias("text")).orderBy("h", "label").collect() if most is not None else []
+    labels = docs.select(F.col(label_col).cast("string").alias("label")).dropna().distinct().count()
+    each = max(1, max_rows // max(1, labels))
+    first = rows.select("label", "h").distinct().withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("h"))).where(F.col("k") <= each)
+    most = {r["label"]: r["h"] for r in first.groupBy("label").agg(F.max("h").alias("h")).collect()}
+    held = docs.sparkSession.createDataFrame(sorted(most.items()), "of string, most long")
+    rows = rows.join(F.broadcast(held), (F.col("label") == F.col("of")) & (F.col("h") <= F.col("most"))).groupBy("h", "label").agg(F.min("text").alias("text")).orderBy("h", "label").collect()
     classes = sorted({r["label"] for r in rows} | {UNKNOWN})
     x, y = _training_windows([r["text"] for r in rows], [classes.index(r["label"]) for r in rows], classes.index(UNKNOWN), per_text, seed)
     return ByteConvNet(classes, seed).fit(x, y, max(1, round(steps * 64 / len(x))))
@@ -187,10 +196,12 @@ def scores(net: ByteConvNet, col: pa.Array) -> np.ndarray:
     """Mean class probabilities of every row over all its windows, by bytes; rows of zeros for empty texts."""
     out = np.zeros((len(col), len(net.classes)))
     for at, part in tk.slices(col):
-        x, row, size = windows(part)
-        p = net.probabilities(x) * size[:, None]
-        for c in range(len(net.classes)):
-            out[at : at + len(part), c] = np.bincount(row, p[:, c], minlength=len(part))
+        raw, off = tk.raw_buffers(part)
+        for a in range(0, max(1, len(raw)), tk.SLICE_BYTES):  # a text of more than a slice goes a slice at a time
+            x, row, size = _windows(raw[a : a + tk.SLICE_BYTES], np.clip(off - a, 0, tk.SLICE_BYTES) if len(part) == 1 else off)
+            p = net.probabilities(x) * size[:, None]
+            for c in range(len(net.classes)):
+                out[at : at + len(part), c] += np.bincount(row, p[:, c], minlength=len(part))
     total = out.sum(1, keepdims=True)
     return out / np.where(total > 0, total, 1)
 
@@ -198,9 +209,12 @@ def scores(net: ByteConvNet, col: pa.Array) -> np.ndarray:
 def identify(docs: DataFrame, net: ByteConvNet, *, min_confidence: float = 0.3, text_col: str = "text") -> DataFrame:
     """docs with lang_id (language, confidence, accepted).
 
-    accepted: the likeliest class is a language, and its probability at least min_confidence.  A null or
-    empty text is of class "und", with confidence 0, and not accepted.  The columns of docs stay as they
-    are; a column of theirs named lang_id is replaced.
+    accepted: the likeliest class is a language, and its probability at least min_confidence.
+
+    Defined cases: a null or empty text is of class "und", with confidence 0, and not accepted; a very long
+    text is read whole, a slice at a time; of classes that are equally likely the first by name is taken;
+    repeated rows are answered each; an empty table stays empty; the columns of docs stay as they are, but
+    one of theirs named lang_id is replaced.
     """
     model = docs.sparkSession.sparkContext.broadcast(net)
 

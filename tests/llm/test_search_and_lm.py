@@ -59,7 +59,7 @@ def test_neighbours_edges(spark):
     assert collision_knn.neighbours(df.where("vec_id = 1")).count() == 0
 
 
-@settings(max_examples=80)
+@settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=60))
 def test_suffix_array(ids):
     a = np.array(ids, np.int64)

@@ -7,7 +7,7 @@ from tarnwick.llm import language_id, licence_scan, quality_rules, url_filter
 from tarnwick.llm import textkernel as tk
 
 
-@settings(max_examples=50)
+@settings(max_examples=50, deadline=None)
 @given(st.lists(st.one_of(st.none(), st.text(alphabet="aB é\n\t.1", max_size=30)), max_size=12))
 def test_token_kernel(texts):
     h, row = tk.token_hashes(pa.array(texts, pa.string()))
@@ -32,6 +32,25 @@ def test_language_on_held_out_text(spark, make_prose):
     assert all(not r["lang_id"]["accepted"] and r["lang_id"]["language"] == "und" for r in out if r["doc_id"] in (97, 98, 99))
 
 
+def test_every_label_becomes_a_class(spark, make_prose):
+    rows = [(make_prose("en", 30, 0), "en")] * 300 + [(make_prose("en", 30, i), "en") for i in range(40)] + [(make_prose("fr", 30, 1), "fr"), (None, "xx"), ("text", None)]
+    net = language_id.train(spark.createDataFrame(rows, "text string, lang string"), max_rows=4, steps=10)
+    assert net.classes == ["en", "fr", "und"]
+
+
+def test_a_long_text_is_read_a_slice_at_a_time(make_prose):
+    net = language_id.ByteConvNet(["en", "und"], seed=1)
+    text = make_prose("en", 5000, 3) + "é" * 7
+    whole = language_id.scores(net, pa.array([text, "a", None]))
+    import numpy as np
+
+    old, tk.SLICE_BYTES = tk.SLICE_BYTES, 4 * language_id.WINDOW
+    try:
+        assert np.allclose(language_id.scores(net, pa.array([text, "a", None])), whole)
+    finally:
+        tk.SLICE_BYTES = old
+
+
 def test_language_edges(spark, docs):
     net = language_id.train(docs, steps=30)
     out = language_id.identify(docs, net)
@@ -80,6 +99,48 @@ def test_licence_scan(spark, docs):
     assert licence_scan.scan(docs.limit(0)).count() == 0 and licence_scan.scan(docs, {}).count() == 0
 
 
+def brute_chains(matches, gap):
+    """The best chain of all, by looking at every pair of matches, again and again; spans found are not crossed."""
+    out, taken, left = [], [], sorted(set(matches))
+    while left:
+        best = []
+        for i, (a, b, n) in enumerate(left):
+            top = (n, -1)
+            for j, (x, y, m) in enumerate(left[:i]):
+                over = max(0, x + m - a, y + m - b)
+                if x < a and y < b and over < n and a - (x + m) <= gap and not any(x < e <= a for e in taken) and best[j][0] + n - over > top[0]:
+                    top = (best[j][0] + n - over, j)
+            best.append(top)
+        k = max(range(len(left)), key=lambda i: (best[i][0], -i))
+        chain = []
+        while k >= 0:
+            chain.append(left[k])
+            k = best[k][1]
+        out.append(chain[::-1])
+        first, last = chain[-1][0], max(a + n for a, _, n in chain)
+        taken.append(last)
+        left = [x for x in left if x[0] + x[2] <= first or x[0] >= last]
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 12), st.integers(1, 6)), max_size=25), st.integers(0, 8))
+def test_chains_by_brute_force(matches, gap):
+    assert sorted(licence_scan.chains(matches, gap)) == sorted(brute_chains(matches, gap))
+
+
+def test_many_notices_in_one_text():
+    import time
+
+    notice = licence_scan.TEMPLATES["all-rights-notice"] + " "
+    own = licence_scan.Scanner(licence_scan.TEMPLATES)
+    began = time.perf_counter()
+    for text in (notice * 10_000, (licence_scan.TEMPLATES["MIT"] + " ") * 300):
+        found = own.scan(pa.array([text]))
+        assert len(found) in (10_000, 300)
+    assert time.perf_counter() - began < 30
+
+
 def test_short_and_nested_templates():
     own = licence_scan.Scanner(licence_scan.TEMPLATES)
     found = own.scan(pa.array(["words. All rights reserved. more words", licence_scan.TEMPLATES["all-rights"], "all rights"]))
