@@ -1,28 +1,39 @@
-"""Scoring with an unbounded n-gram model over sharded corpus suffix arrays.
+"""Unbounded n-gram scores of all texts of a corpus, each by all the other texts.
 
-Each task cuts its part of the corpus into shards of a bounded number of tokens and sorts a shard's
-suffixes.  All contexts of the texts to score are looked up by binary search, one token longer at a
-time, until they don't occur; so no order of n-grams is fixed in advance.  Counts are summed over the
-shards, and a token's probability is smoothed from the empty context up to the longest one that occurs:
+The corpus lies in shards of about SHARD_TOKENS tokens.  A shard sorts its positions once, by the tokens
+that end there, read backwards: a suffix array in which equal contexts are neighbours.  The longest context
+that another text has is found by a search over lengths, in rounds: DENSE lengths one by one, then doubled,
+then by halves.  In a round a shard reads the runs of one length off its array, each with its count, the
+counts of all shards are summed by the run's hash, and the sums come back in the shard's own order.
 
-    p_0(w) = max(c(w), 1) / (N + 1),   p_k(w) = (c(context_k w) + a p_{k-1}(w)) / (c(context_k) + a)
+No shard is searched for the texts of another one, which would take shards times texts; the numbers that
+move are those of the runs that may still occur elsewhere, so the work grows as the corpus does.
+With K the longest context of a token w that other texts have, c(K) its count there and N their tokens:
+
+    p_0(w) = max(c(w), 1) / (N + 1),   p(w) = (c(K w) + a p_0(w)) / (c(K) + a)
 """
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwick.llm import textkernel as tk
-from tarnwick.llm.session import cut
+from tarnwick.llm.session import checkpoint_dir, shuffle_partitions
 
-SHARD_TOKENS = 2_000_000
-#: Tokens of the texts to score that are looked up in one pass over the corpus.
-QUERY_TOKENS = 4_000_000
+SHARD_TOKENS, BUCKET_RUNS = 1_000_000, 3_000_000
+#: Lengths asked for one by one, by round; the last is DENSE.
+ROUNDS = ((1, 2), (3, 4), (5, 6), (7, 8))
+DENSE = ROUNDS[-1][-1]
+_BASE, _LENGTH, _TEXT = 0x9FB21C651E98DF25, np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
+_STATE = "shard long, open long, tokens long, state binary"
 
 
 def suffix_array(ids: np.ndarray) -> np.ndarray:
@@ -56,170 +67,345 @@ def suffix_array(ids: np.ndarray) -> np.ndarray:
     return sa
 
 
-class Shard:
-    """Suffix array of some texts, given as token hashes and the row of each; no match goes across texts."""
+def _pack(x) -> bytes:
+    raw = pickle.dumps(x, protocol=5)
+    return len(raw).to_bytes(8, "little") + pa.Codec("lz4").compress(raw, asbytes=True)
 
-    def __init__(self, hashes: np.ndarray, row: np.ndarray):
-        self.vocabulary = tk.sorted_unique(hashes)
-        start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
-        texts = len(start)
-        ids = np.empty(len(hashes) + texts, np.int64)
-        at = np.arange(len(hashes)) + (np.cumsum(np.r_[True, row[1:] != row[:-1]]) - 1 if len(row) else 0)
-        ids[at] = np.searchsorted(self.vocabulary, hashes) + texts
-        ids[np.r_[start[1:], len(hashes)] + np.arange(texts) if texts else []] = np.arange(texts)
-        self.ids, self.base, self.tokens = ids, texts, len(hashes)
-        self.sa = suffix_array(ids)
-
-    def _bound(self, lo: np.ndarray, hi: np.ndarray, depth: int, token: np.ndarray, right: bool) -> np.ndarray:
-        """First suffix in [lo, hi) whose token at depth is at least, or with right above, token."""
-        lo, hi = lo.copy(), hi.copy()
-        n = len(self.ids)
-        for _ in range(int(hi.max() - lo.min()).bit_length() + 1 if len(lo) else 0):
-            open_ = lo < hi
-            if not open_.any():
-                break
-            mid = (lo + hi) >> 1
-            at = self.sa[np.minimum(mid, n - 1)] + depth
-            there = np.where(at < n, self.ids[np.minimum(at, n - 1)], -1)
-            less = (there <= token) if right else (there < token)
-            lo, hi = np.where(open_ & less, mid + 1, lo), np.where(open_ & ~less, mid, hi)
-        return lo
-
-    def count_all(self, hashes: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, length, count) of every run of query tokens, from each start on, that occurs; end is where its text ends."""
-        where = np.minimum(np.searchsorted(self.vocabulary, hashes), max(0, len(self.vocabulary) - 1))
-        ids = np.where(self.vocabulary[where] == hashes, where + self.base, -2) if len(self.vocabulary) else np.full(len(hashes), -2)
-        s = np.flatnonzero(ids >= 0)
-        lo, hi = np.zeros(len(s), np.int64), np.full(len(s), len(self.sa))
-        out, depth = [], 0
-        while len(s):
-            token = ids[s + depth]
-            a, b = self._bound(lo, hi, depth, token, False), self._bound(lo, hi, depth, token, True)
-            ok = b > a
-            s, lo, hi = s[ok], a[ok], b[ok]
-            depth += 1
-            out.append((s, np.full(len(s), depth), hi - lo))
-            more = s + depth < end[s]
-            more[more] = ids[s[more] + depth] >= 0
-            s, lo, hi = s[more], lo[more], hi[more]
-        return tuple(np.concatenate([np.zeros(0, np.int64), *(o[k] for o in out)]).astype(np.int64) for k in range(3))
-
-
-def smoothed(n: int, counts: dict[tuple[int, int], int], total: int, alpha: float) -> list[tuple[float, int]]:
-    """(probability, longest context that occurs) of each of n tokens, from counts by (start, length)."""
-    out = []
-    for j in range(n):
-        p = max(counts.get((j, 1), 0), 1) / (total + 1)
-        k = 0
-        while k < j and (context := counts.get((j - k - 1, k + 1), 0)):
-            k += 1
-            p = (counts.get((j - k, k + 1), 0) + alpha * p) / (context + alpha)
-        out.append((p, k))
+
+def _unpack(x: bytes):
+    return pickle.loads(pa.Codec("lz4").decompress(memoryview(x)[8:], int.from_bytes(x[:8], "little"), asbytes=True))
+
+
+def _places(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Text of every token, and its place in it."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _same(key: np.ndarray) -> np.ndarray:
+    """How often each value occurs."""
+    if not len(key):
+        return np.zeros(0, np.int64)
+    order = np.argsort(key)
+    head = np.flatnonzero(np.r_[True, key[order[1:]] != key[order[:-1]]])
+    n = np.diff(np.r_[head, len(key)])
+    out = np.empty(len(key), np.int64)
+    out[order] = np.repeat(n, n)
     return out
 
 
-def _count_pass(hashes, end, base: int, shard_tokens: int):
+class _Runs:
+    """Hashes of the runs of length tokens that end at given positions, for tokens in a row."""
+
+    def __init__(self, vocabulary: np.ndarray, at: np.ndarray):
+        n = len(at)
+        powers = lambda base: np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, base, np.uint64)])
+        self.sums = np.r_[np.uint64(0), np.cumsum(vocabulary[at] * powers(_BASE)[:n])] if n else np.zeros(1, np.uint64)
+        self.inverse = powers(pow(_BASE, -1, 1 << 64))
+
+    def hashes(self, pos: np.ndarray, length) -> np.ndarray:
+        start = pos + 1 - length
+        return tk.mix64((self.sums[pos + 1] - self.sums[start]) * self.inverse[start] + np.asarray(length).astype(np.uint64) * _LENGTH)
+
+
+class Shard:
+    """Texts and their suffix array; of the longest run known that ends at each position and that another text has, its length and count."""
+
+    def __init__(self, ids: list[int | None], sizes: np.ndarray, hashes: np.ndarray):
+        self.ids, self.sizes = ids, sizes
+        self.vocabulary = tk.sorted_unique(hashes)
+        self.at = np.searchsorted(self.vocabulary, hashes).astype(np.uint32)
+        n, texts = len(hashes), len(sizes)
+        row, place = _places(sizes)
+        base = np.cumsum(sizes) - sizes
+        seat = (base + sizes - 1)[row] - place + row  # every text backwards, and an end of its own
+        back = np.empty(n + texts, np.int64)
+        back[seat] = self.at.astype(np.int64) + texts
+        back[base + sizes + np.arange(texts)] = np.arange(texts)
+        where = np.full(n + texts, -1)
+        where[seat] = np.arange(n)
+        self.order = where[suffix_array(back)[texts:]].astype(np.uint32)
+        self.round, self.single, self.total = 0, np.zeros(n, np.uint32), np.zeros(0, np.uint32)
+        self.length, self.count = np.zeros(n, np.uint8), np.zeros(n, np.uint32)
+
+    def _asked(self):
+        """(length, positions in the array's order, first of each run) of the round's lengths."""
+        row, place = _places(self.sizes)
+        runs = _Runs(self.vocabulary, self.at)
+        known = ROUNDS[self.round - 1][-1] if self.round else 0
+        own = self.order[self.length[self.order] == known].astype(np.int64)
+        for length in ROUNDS[self.round]:
+            own = own[place[own] >= length - 1]
+            h = runs.hashes(own, length)
+            head = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+            yield length, own, head, h[head], row
+
+    def request(self) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, count) of the runs to ask for."""
+        found = [(h, np.diff(np.r_[head, len(own)])) for _, own, head, h, _ in self._asked()]
+        return np.concatenate([h for h, _ in found]), np.concatenate([n for _, n in found])
+
+    def answer(self, totals: np.ndarray) -> int:
+        at = 0
+        for length, own, head, h, row in list(self._asked()):
+            n = np.diff(np.r_[head, len(own)])
+            total = np.repeat(totals[at : at + len(h)], n)
+            at += len(h)
+            group, mine = np.repeat(np.arange(len(h)), n), np.ones(len(own), np.int64)
+            several = np.flatnonzero(np.repeat(n, n) > 1)
+            mine[several] = _same((group[several] << 32) | row[own[several]])
+            other = total - mine
+            if length == 1:
+                self.single[own] = other
+            some = other > 0
+            self.length[own[some]], self.count[own[some]] = length, other[some]
+            if length == DENSE:
+                self.total = np.zeros(len(self.at), np.uint32)
+                self.total[own] = total
+        self.round += 1
+        return int((self.length == ROUNDS[self.round - 1][-1]).sum()) if self.round < len(ROUNDS) else 0
+
+    def deep(self) -> "Deep":
+        """The stretches of positions at which a run of DENSE tokens ends that another text has, and the tokens that such runs cover."""
+        is_deep = self.length == DENSE
+        first = np.flatnonzero(is_deep & ~np.r_[False, is_deep[:-1]])
+        last = np.flatnonzero(is_deep & ~np.r_[is_deep[1:], False])
+        return Deep(self, first, last)
+
+
+class Deep:
+    """Stretches of a shard, apart from the rest: no run of more than DENSE tokens that another text has leaves one.
+
+    doubling: positions whose run of a tokens others have, and which look at 2 a next; halving: (position, a, gap,
+    totals at a and at a + gap), where the run of a tokens occurs elsewhere and not all its occurrences go on to
+    a + gap.  A length is asked for in a round of its own, and by all who may have it.
+    """
+
+    def __init__(self, shard: Shard, first: np.ndarray, last: np.ndarray):
+        self.first, self.sizes = first, last - first + DENSE
+        row, place = _places(self.sizes)
+        at = first[row] - (DENSE - 1) + place if len(first) else np.zeros(0, np.int64)
+        self.text = _places(shard.sizes)[0][first]
+        self.vocabulary, ids = np.unique(shard.at[at], return_inverse=True)
+        self.vocabulary, self.at = shard.vocabulary[self.vocabulary], ids.astype(np.uint32)
+        self.length, self.count = shard.length[at].astype(np.uint32), shard.count[at]
+        own = np.flatnonzero(place >= DENSE - 1)
+        self.doubling = [own.astype(np.uint32), np.full(len(own), DENSE, np.uint32), shard.total[at][own]]
+        self.halving = [np.zeros(0, np.uint32) for _ in range(5)]
+
+    def _asked(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of doubling, then halving: position, length that is looked at, whether it fits in the stretch, text; and the hashes of those that fit."""
+        row, place = _places(self.sizes)
+        pos = np.r_[self.doubling[0], self.halving[0]].astype(np.int64)
+        length = np.r_[self.doubling[1].astype(np.int64) * 2, self.halving[1].astype(np.int64) + self.halving[2] // 2]
+        fits = length <= place[pos] + 1
+        return pos, length, fits, self.text[row[pos]], _Runs(self.vocabulary, self.at).hashes(pos[fits], length[fits])
+
+    def request(self) -> tuple[np.ndarray, np.ndarray]:
+        h = np.sort(self._asked()[4])
+        head = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+        return h[head], np.diff(np.r_[head, len(h)])
+
+    def answer(self, totals: np.ndarray) -> int:
+        pos, length, fits, text, h = self._asked()
+        total, other = np.zeros(len(pos), np.int64), np.zeros(len(pos), np.int64)
+        total[fits] = totals[np.searchsorted(tk.sorted_unique(h), h)]
+        other[fits] = total[fits] - _same(h + text[fits].astype(np.uint64) * _TEXT)
+        more = np.flatnonzero((other > 0) & (length > self.length[pos]))
+        more = more[np.argsort(length[more], kind="stable")]
+        self.length[pos[more]], self.count[pos[more]] = length[more], other[more]
+        k = len(self.doubling[0])
+        p, a, ta = (x.astype(np.int64) for x in self.doubling)
+        q, b, gap, tb, tc = (x.astype(np.int64) for x in self.halving)
+        on = other[:k] > 0
+        self.doubling = [x.astype(np.uint32) for x in (p[on], 2 * a[on], total[:k][on])]
+        mid, half = total[k:], gap // 2
+        lower, upper = (half > 1) & (tb != mid), (half > 1) & (other[k:] > 0) & (mid != tc)
+        split = (a > 1) & (ta != total[:k])
+        new = [(p[split], a[split], a[split], ta[split], total[:k][split]), (q[lower], b[lower], half[lower], tb[lower], mid[lower]), (q[upper], (b + half)[upper], half[upper], mid[upper], tc[upper])]
+        self.halving = [np.concatenate([x[c] for x in new]).astype(np.uint32) for c in range(5)]
+        return len(self.doubling[0]) + len(self.halving[0])
+
+
+def scores(ids: list, sizes: np.ndarray, single: np.ndarray, length: np.ndarray, count: np.ndarray, tokens: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """(natural logarithm of the probability, longest context that another text has) of every token, of a corpus of so many tokens."""
+    row, place = _places(sizes)
+    p = np.maximum(single, 1) / (tokens - sizes[row] + 1)
+    context = np.where(place > 0, np.r_[0, length[:-1]], 0)
+    of = np.flatnonzero(context)
+    runs_on = length[of] == context[of] + 1
+    p[of] = (np.where(runs_on, count[of], 0) + alpha * p[of]) / (count[of - 1].astype(float) + alpha)
+    return np.log(p), context
+
+
+def _row(shard: int, left: int, tokens: int, state) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([left], pa.int64()), pa.array([tokens], pa.int64()), pa.array([_pack(state)], pa.binary())], ["shard", "open", "tokens", "state"])
+
+
+def _shards(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, e = hashes.value, end.value
+        own, k = TaskContext.get().partitionId() << 32, 0
+        held: list[tuple[list, np.ndarray, np.ndarray]] = []
+        tokens = 0
 
-        def counted(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-            shard = Shard(np.concatenate([h for h, _ in held]), np.concatenate([r for _, r in held]))
-            s, n, c = shard.count_all(q, e)
-            s, n, c = np.r_[-1, s + base], np.r_[0, n], np.r_[shard.tokens, c]
-            return pa.RecordBatch.from_arrays([pa.array(s), pa.array(n.astype(np.int32)), pa.array(c)], ["start", "length", "count"])
+        def made() -> pa.RecordBatch:
+            s = Shard([i for ids, _, _ in held for i in ids], np.concatenate([s for _, s, _ in held]), np.concatenate([h for _, _, h in held]))
+            return _row(own + k, len(s.at), len(s.at), s)
 
-        held, tokens, rows = [], 0, 0
         for b in batches:
-            for _, col in tk.slices(b.column(0)):
+            ids = b.column(0).to_pylist()
+            for at, col in tk.slices(b.column(1)):
                 h, row = tk.token_hashes(col)
-                at = 0
-                while len(h) - at > shard_tokens - tokens:  # a shard ends between texts, unless one text is longer than a shard
-                    to = int(np.searchsorted(row, row[at + shard_tokens - tokens], side="left"))
-                    if to <= at and not held:
-                        to = int(np.searchsorted(row, row[at], side="right"))
-                    if to > at:
-                        held.append((h[at:to], row[at:to] + rows))
-                    yield counted(held)
-                    held, tokens, at = [], 0, max(to, at)
-                if at < len(h):
-                    held.append((h[at:], row[at:] + rows))
-                    tokens += len(h) - at
-                rows += len(col)
-        if tokens:
-            yield counted(held)
+                sizes = np.bincount(row, minlength=len(col)).astype(np.int64)
+                ends = np.cumsum(sizes)
+                lo = 0
+                while lo < len(col):  # a shard ends between texts
+                    base = int(ends[lo] - sizes[lo])
+                    hi = max(lo + 1, int(np.searchsorted(ends, base + size - tokens, side="right")))
+                    some = np.flatnonzero(sizes[lo:hi]) + lo
+                    if len(some):
+                        held.append(([ids[at + r] for r in some], sizes[some], h[base : int(ends[hi - 1])]))
+                        tokens += int(ends[hi - 1]) - base
+                    if tokens >= size or hi < len(col):
+                        if held:
+                            yield made()
+                        held, tokens, k = [], 0, k + 1
+                    lo = hi
+        if held:
+            yield made()
 
     return run
 
 
-def score(texts: DataFrame, corpus: DataFrame, *, alpha: float = 0.5, shard_tokens: int = SHARD_TOKENS, query_tokens: int = QUERY_TOKENS, id_col: str = "item_id", text_col: str = "text", corpus_text_col: str = "text") -> DataFrame:
-    """(item_id, n_tokens, log_prob, bits_per_token, mean_context, longest_context) of every text, by all texts of the corpus.
+def _buckets_of(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order by bucket, bounds of the buckets) of hashes."""
+    b = (((h >> np.uint64(40)) * np.uint64(buckets)) >> np.uint64(24)).astype(np.uint16 if buckets < 1 << 16 else np.uint32)
+    return np.argsort(b, kind="stable"), np.r_[0, np.cumsum(np.bincount(b, minlength=buckets))]
 
-    log_prob is the sum of natural logarithms; the contexts are the longest that occur before each token.
-    Tokens are separated by white space and compared by 64-bit hashes of their lower case.  The texts to
-    score come to the driver as hashes, query_tokens at a time, and each lot is looked up in one pass over
-    the corpus; corpus counts are summed by a shuffle.
 
-    Defined cases: a null or empty text, or one to score with a null id, is left out (of the corpus it has
-    no token); repeated rows with an id are scored each, and the row with the text that sorts first keeps its
-    place; an empty corpus gives every token probability 1; other columns are not read.
-    """
-    spark = corpus.sparkSession
-    rows = texts.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).where("item_id is not null and length(text) > 0").orderBy("item_id", "text")
-    docs = corpus.select(F.col(corpus_text_col).alias("text")).where("text is not null")
-    parts, place, lot, size = [], [], [], 0
-    done = 0
-
-    def look_up() -> None:
-        nonlocal done
-        hashes = np.concatenate([h for _, h in lot])
-        ends = np.cumsum([len(h) for _, h in lot])
-        end = np.repeat(ends, [len(h) for _, h in lot])
-        sc = spark.sparkContext
-        parts.append(docs.mapInArrow(_count_pass(sc.broadcast(hashes), sc.broadcast(end), done, shard_tokens), "start long, length int, count long"))
-        for (item, h), b in zip(lot, ends):
-            place.append((len(place), item, int(b - len(h)) + done, len(h)))
-        done += len(hashes)
-
-    for batch in (rows.toArrow().to_batches() or []):
-        h, r = tk.token_hashes(batch.column(1))
-        for k, item in enumerate(batch.column(0).to_pylist()):
-            own = h[r == k]
-            if len(own):
-                lot.append((item, own))
-                size += len(own)
-                if size >= query_tokens:
-                    look_up()
-                    lot, size = [], 0
-    if lot:
-        look_up()
-    schema = "item_id long, n_tokens int, log_prob double, bits_per_token double, mean_context double, longest_context int"
-    if not parts:
-        return spark.createDataFrame([], schema)
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
-    summed = cut(found.groupBy("start", "length").agg(F.sum("count").alias("count")))
-    total = F.coalesce(F.sum(F.when(F.col("start") == -1, F.col("count"))), F.lit(0))
-    starts, lots = np.array([p[2] for p in place]), len(parts)
-    spots = spark.sparkContext.broadcast((starts, place))
-
-    def owner(start: pa.Array) -> pa.Array:
-        return pa.array(np.searchsorted(spots.value[0], start.to_numpy(zero_copy_only=False), side="right") - 1)
-
-    items = spark.createDataFrame([(p[0], p[1], p[3]) for p in place], "place long, item_id long, n int")
-    own = summed.where("start >= 0").withColumn("place", F.arrow_udf(owner, "long")("start")).groupBy("place").agg(F.collect_list(F.struct("start", "length", "count")).alias("counts"))
-    tokens = summed.agg((total / lots).cast("long").alias("total"))
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = spots.value[1]
+def _ask(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for k, item, n, counts, total in zip(*(c.to_pylist() for c in b.columns)):
-                by = {(c["start"] - place[k][2], c["length"]): c["count"] for c in counts or ()}
-                p = smoothed(n, by, total or 0, alpha)
-                log = float(np.log([x for x, _ in p]).sum())
-                out.append((item, n, log, -log / n / float(np.log(2)), sum(c for _, c in p) / n, max(c for _, c in p)))
-            yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], t) for c, t in enumerate((pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int32()))], ["item_id", "n_tokens", "log_prob", "bits_per_token", "mean_context", "longest_context"])
-
-    joined = items.join(own, "place", "left").crossJoin(F.broadcast(tokens)).select("place", "item_id", "n", "counts", "total")
-    return joined.mapInArrow(finish, schema)
+            for shard, state in zip(b.column(0).to_pylist(), b.column(1)):
+                h, n = _unpack(state.as_py()).request()
+                order, cuts = _buckets_of(h, buckets)
+                h, n = h[order], n[order].astype(np.int32)
+                some = np.flatnonzero(cuts[1:] > cuts[:-1])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(some.astype(np.int32)), pa.array(np.full(len(some), shard), pa.int64()),
+                    pa.array([h[cuts[k] : cuts[k + 1]].tobytes() for k in some], pa.binary()), pa.array([n[cuts[k] : cuts[k + 1]].tobytes() for k in some], pa.binary())],
+                    ["bucket", "shard", "hashes", "counts"])
+
+    return run
+
+
+def _sum(asked: pa.Table) -> pa.Table:
+    hashes = [np.frombuffer(x.as_py(), np.uint64) for x in asked.column("hashes")]
+    counts = np.concatenate([np.frombuffer(x.as_py(), np.int32) for x in asked.column("counts")])
+    h = np.concatenate(hashes)
+    order = np.argsort(h)
+    head = np.flatnonzero(np.r_[True, h[order[1:]] != h[order[:-1]]])
+    total = np.empty(len(h), np.uint32)
+    total[order] = np.repeat(np.add.reduceat(counts[order].astype(np.int64), head), np.diff(np.r_[head, len(h)]))
+    ends = np.cumsum([len(x) for x in hashes])
+    out = [_pack(total[e - len(x) : e]) for x, e in zip(hashes, ends)]
+    return pa.table([asked.column("shard"), asked.column("bucket"), pa.array(out, pa.binary())], ["shard", "bucket", "totals"])
+
+
+def _take(buckets: int):
+    def run(states: pa.Table, replies: pa.Table) -> pa.Table:
+        s = _unpack(states.column("state")[0].as_py())
+        found = np.concatenate([np.zeros(0, np.uint32), *(_unpack(x.as_py()) for x in replies.sort_by("bucket").column("totals"))]).astype(np.int64)
+        totals = np.empty(len(found), np.int64)
+        if len(found):
+            totals[_buckets_of(s.request()[0], buckets)[0]] = found
+        left = s.answer(totals)
+        return pa.Table.from_batches([_row(states.column("shard")[0].as_py(), left, states.column("tokens")[0].as_py(), s)])
+
+    return run
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A shard's deep stretches as the state of further rounds, and apart from it what is known of the rest."""
+    for b in batches:
+        for shard, tokens, state in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3)):
+            s = _unpack(state.as_py())
+            deep = s.deep()
+            row = _row(shard, len(deep.doubling[0]), tokens, deep)
+            yield pa.RecordBatch.from_arrays([*row.columns, pa.array([_pack((s.ids, s.sizes, s.single, s.length, s.count))], pa.binary())], [*row.schema.names, "known"])
+
+
+_OUT = "doc_id long, n_tokens int, log_prob double, bits_per_token double, mean_context double, longest_context int"
+
+
+def _finish(tokens: int, alpha: float):
+    def run(known: pa.Table, states: pa.Table) -> pa.Table:
+        ids, sizes, single, length, count = _unpack(known.column("known")[0].as_py())
+        deep = _unpack(states.column("state")[0].as_py())
+        length = length.astype(np.int64)
+        if len(deep.first):
+            row, place = _places(deep.sizes)
+            own = np.flatnonzero(place >= DENSE - 1)
+            at = deep.first[row[own]] - (DENSE - 1) + place[own]
+            length[at], count[at] = deep.length[own], deep.count[own]
+        log, context = scores(ids, sizes, single, length, count, tokens, alpha)
+        row = _places(sizes)[0]
+        total = np.bincount(row, log, len(sizes))
+        longest = np.maximum.reduceat(context, np.cumsum(sizes) - sizes)
+        return pa.table([pa.array(ids, pa.int64()), pa.array(sizes.astype(np.int32)), pa.array(total), pa.array(-total / sizes / np.log(2)), pa.array(np.bincount(row, context, len(sizes)) / sizes), pa.array(longest.astype(np.int32))], [x.split()[0] for x in _OUT.split(", ")])
+
+    return run
+
+
+def score_each(docs: DataFrame, *, alpha: float = 0.5, shard_tokens: int = SHARD_TOKENS, bucket_runs: int = BUCKET_RUNS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, log_prob, bits_per_token, mean_context, longest_context) of every text, by all other texts of docs.
+
+    log_prob is the sum of natural logarithms; the contexts are the longest before each token that another
+    text has, of any length.  Occurrences in the text itself, and its tokens, don't count; copies of it in
+    other rows do.  Tokens are separated by white space, in lower case, and runs of them are compared by 64-bit
+    hashes; the driver holds none of them.
+
+    Defined cases: a null or empty text is left out; one with a null id counts for the others but isn't
+    returned; rows that repeat an id are texts of their own, scored each; a very long text makes a shard of
+    its own, with n log n numbers for n tokens that another text has; a text without others has probability 1 a
+    token; an empty table gives an empty result; other columns, whatever their names, are not read.
+    """
+    spark = docs.sparkSession
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("length(text) > 0")
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/ngram-lm-{uuid.uuid4().hex}"
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        """df from files: a checkpoint would keep its estimated size, which a cogroup squares in each round."""
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    def gone(name: str) -> None:
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+        spark.sparkContext._jvm.System.gc()  # the shuffle files of earlier rounds go
+
+    def next_round(state: DataFrame, buckets: int) -> DataFrame:
+        asked = state.select("shard", "state").mapInArrow(_ask(buckets), "bucket int, shard long, hashes binary, counts binary")
+        sums = asked.groupBy("bucket").applyInArrow(_sum, "shard long, bucket int, totals binary")
+        return state.select("shard", "open", "tokens", "state").groupBy("shard").cogroup(sums.groupBy("shard")).applyInArrow(_take(buckets), _STATE)
+
+    state = kept(texts.mapInArrow(_shards(shard_tokens), _STATE), "dense-0")
+    tokens = state.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    if not tokens:
+        return spark.createDataFrame([], _OUT)
+    buckets = max(shuffle_partitions(spark), -(-tokens // bucket_runs))
+    for k in range(len(ROUNDS)):
+        state = kept(next_round(state, buckets), f"dense-{k + 1}")
+        gone(f"dense-{k}")
+    split = kept(state.mapInArrow(_split, f"{_STATE}, known binary"), "split")
+    gone(f"dense-{len(ROUNDS)}")
+    state, k = split.drop("known"), 0
+    left = state.agg(F.sum("open")).first()[0]
+    while left:
+        state = kept(next_round(state, buckets), f"deep-{k + 1}")
+        left = state.agg(F.sum("open")).first()[0]
+        if k:
+            gone(f"deep-{k}")
+        k += 1
+    known = split.select("shard", "known").groupBy("shard")
+    return known.cogroup(state.select("shard", "state").groupBy("shard")).applyInArrow(_finish(tokens, alpha), _OUT).where("doc_id is not null")

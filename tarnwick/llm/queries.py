@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwick.llm import collision_knn, corpus_lm, language_id, licence_scan, mixing, packing, quality_rules, sharding, url_filter
+from tarnwick.llm import collision_knn, language_id, licence_scan, mixing, ngram_lm, packing, quality_rules, sharding, url_filter
 from tarnwick.llm.jaccard_join import jaccard_join
 
 
@@ -75,7 +75,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_lm.score_each(_table(spark, sf_dir, "documents"))
+    return ngram_lm.score_each(_table(spark, sf_dir, "documents"))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from tarnwick.llm import corpus_lm, queries
+from tarnwick.llm import ngram_lm, queries
 
 
 def brute(texts, alpha=0.5):
@@ -19,33 +19,47 @@ def brute(texts, alpha=0.5):
         logs, longest = 0.0, 0
         for j, token in enumerate(w):
             p, k = max(grams.get((token,), 0), 1) / (sum(map(len, others)) + 1), 0
-            while k < j and (c := grams.get(tuple(w[j - k - 1 : j]), 0)):
+            while k < j and grams.get(tuple(w[j - k - 1 : j]), 0):
                 k += 1
-                p = (grams.get(tuple(w[j - k : j + 1]), 0) + alpha * p) / (c + alpha)
+            if k:
+                p = (grams.get(tuple(w[j - k : j + 1]), 0) + alpha * p) / (grams[tuple(w[j - k : j])] + alpha)
             logs, longest = logs + math.log(p), max(longest, k)
         out.append((len(w), pytest.approx(logs), longest))
     return out
 
 
-@pytest.mark.parametrize("more", [{}, {"chunk_tokens": 60, "bucket_tokens": 50}])
+@pytest.mark.parametrize("more", [{}, {"shard_tokens": 60, "bucket_runs": 50}])
 def test_each_text_by_the_others(spark, more):
     r = random.Random(5)
     base = [r.choice("abcdef") for _ in range(70)]
     texts = [" ".join(base), " ".join(base), " ".join(base[5:60]), " ".join([*base[:33], "Z", *base[33:]]), " ".join([*base[20:50], "y", *base[20:50]])]
     texts += ["q " * 40, "q " * 23, "never seen", "B", "c"] + [" ".join(r.choice("abcdefgh") for _ in range(r.randrange(1, 40))) for _ in range(8)]
     rows = [(k, t, 1) for k, t in enumerate(texts)] + [(98, None, 1), (99, "", 1), (97, " \n", 1)]
-    got = {x["doc_id"]: (x["n_tokens"], x["log_prob"], x["longest_context"]) for x in corpus_lm.score_each(spark.createDataFrame(rows, "doc_id long, text string, n_tokens int").repartition(3), **more).collect()}
+    got = {x["doc_id"]: (x["n_tokens"], x["log_prob"], x["longest_context"]) for x in ngram_lm.score_each(spark.createDataFrame(rows, "doc_id long, text string, n_tokens int").repartition(3), **more).collect()}
     want = brute(texts)
     assert sorted(got) == list(range(len(texts)))
     for k, x in enumerate(want):
         assert got[k] == x
 
 
+def test_a_long_text_that_others_have(spark):
+    """20,000 words, which the corpus holds whole, in part and with changes."""
+    r = random.Random(9)
+    words = [f"w{r.randrange(300)}" for _ in range(20_000)]
+    changed = list(words)
+    for k in range(50, 20_000, 997):
+        changed[k] = f"new{k}"
+    rows = [(0, " ".join(words)), (1, " ".join(words)), (2, " ".join(changed)), (3, " ".join(words[4000:9000]))]
+    got = {x["doc_id"]: x for x in ngram_lm.score_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0]["longest_context"] == got[1]["longest_context"] == 19_999 and got[0]["log_prob"] == got[1]["log_prob"]
+    assert got[2]["longest_context"] == 996 and got[3]["longest_context"] == 4999
+
+
 def test_scores_of_one_text_none_and_repeated_rows(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a b")], "doc_id long, text string")
-    assert [x["doc_id"] for x in corpus_lm.score_each(df).collect()] == [1, 1]
-    assert corpus_lm.score_each(df.limit(0)).count() == 0
-    assert corpus_lm.score_each(df.limit(1)).first()["log_prob"] == 0.0
+    assert [x["doc_id"] for x in ngram_lm.score_each(df).collect()] == [1, 1]
+    assert ngram_lm.score_each(df.limit(0)).count() == 0
+    assert ngram_lm.score_each(df.limit(1)).first()["log_prob"] == 0.0
 
 
 def test_op9_scores_the_documents(spark, tmp_path):

@@ -1,13 +1,9 @@
-import math
-
 import numpy as np
-import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tarnwick.llm import collision_knn, ngram_lm, queries
-from tarnwick.llm import textkernel as tk
 
 
 def truth(x, k):
@@ -64,55 +60,3 @@ def test_neighbours_edges(spark):
 def test_suffix_array(ids):
     a = np.array(ids, np.int64)
     assert ngram_lm.suffix_array(a).tolist() == sorted(range(len(ids)), key=lambda k: ids[k:])
-
-
-def brute_scores(items, corpus, alpha=0.5):
-    grams, total = {}, 0
-    for text in corpus:
-        w = (text or "").lower().split()
-        total += len(w)
-        for i in range(len(w)):
-            for j in range(i + 1, len(w) + 1):
-                grams[tuple(w[i:j])] = grams.get(tuple(w[i:j]), 0) + 1
-    out = {}
-    for item, text in items:
-        w, logs, longest = text.lower().split(), 0.0, []
-        for j, token in enumerate(w):
-            p = max(grams.get((token,), 0), 1) / (total + 1)
-            k = 0
-            while k < j and (c := grams.get(tuple(w[j - k - 1 : j]), 0)):
-                k += 1
-                p = (grams.get(tuple(w[j - k : j + 1]), 0) + alpha * p) / (c + alpha)
-            logs += math.log(p)
-            longest.append(k)
-        out[item] = (len(w), logs, max(longest))
-    return out
-
-
-@pytest.mark.parametrize("more", [{}, {"shard_tokens": 7, "query_tokens": 5}])
-def test_scores_against_counts_of_all_grams(spark, more):
-    corpus = ["a b c a b d", "A b c", None, "", "b c a", "x y z a b c a", "q " * 40]
-    items = [(1, "a b c a b"), (2, "z a b c a q q"), (3, "never seen words"), (4, "b")]
-    texts = spark.createDataFrame([*items, (5, None), (6, ""), (None, "a"), (7, "  \n")], "item_id long, text string").selectExpr("*", "1 place", "2 counts")
-    docs = spark.createDataFrame([(c, 1) for c in corpus], "text string, start int").repartition(3)
-    got = {r["item_id"]: (r["n_tokens"], r["log_prob"], r["longest_context"]) for r in ngram_lm.score(texts, docs, **more).collect()}
-    want = brute_scores(items, corpus)
-    assert got.keys() == want.keys()
-    for k in want:
-        assert got[k] == (want[k][0], pytest.approx(want[k][1]), want[k][2])
-
-
-def test_scoring_edges(spark, docs):
-    texts = spark.createDataFrame([(1, "the and of"), (1, "the and of")], "item_id long, text string")
-    assert ngram_lm.score(texts, docs).count() == 2
-    assert ngram_lm.score(texts.limit(0), docs).count() == 0
-    none = ngram_lm.score(texts, docs.limit(0)).collect()
-    assert len(none) == 2 and all(r["log_prob"] == 0.0 for r in none)
-
-
-def test_counts_dont_cross_texts():
-    h, row = tk.token_hashes(pa.array(["a b", "c d"]))
-    shard = ngram_lm.Shard(h, row)
-    q, _ = tk.token_hashes(pa.array(["b c"]))
-    s, n, c = shard.count_all(q, np.array([2, 2]))
-    assert sorted(zip(s.tolist(), n.tolist(), c.tolist())) == [(0, 1, 1), (1, 1, 1)]
