@@ -26,14 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwick.llm import textkernel as tk
-from tarnwick.llm.session import checkpoint_dir, shuffle_partitions
+from tarnwick.llm.session import checkpoint_dir, cut, shuffle_partitions
 
-SHARD_TOKENS, BUCKET_RUNS = 1_000_000, 3_000_000
+SHARD_TOKENS, BUCKET_RUNS = 2_000_000, 3_000_000
 #: Lengths asked for one by one, by round; the last is DENSE.
 ROUNDS = ((1, 2), (3, 4), (5, 6), (7, 8))
 DENSE = ROUNDS[-1][-1]
 _BASE, _LENGTH, _TEXT = 0x9FB21C651E98DF25, np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
-_STATE = "shard long, open long, tokens long, state binary"
+_FIXED = "shard long, tokens long, texts binary"
+_STATE = "shard long, open long, state binary"
 
 
 def suffix_array(ids: np.ndarray) -> np.ndarray:
@@ -69,11 +70,11 @@ def suffix_array(ids: np.ndarray) -> np.ndarray:
 
 def _pack(x) -> bytes:
     raw = pickle.dumps(x, protocol=5)
-    return len(raw).to_bytes(8, "little") + pa.Codec("lz4").compress(raw, asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
 
 
 def _unpack(x: bytes):
-    return pickle.loads(pa.Codec("lz4").decompress(memoryview(x)[8:], int.from_bytes(x[:8], "little"), asbytes=True))
+    return pickle.loads(pa.Codec("zstd").decompress(memoryview(x)[8:], int.from_bytes(x[:8], "little"), asbytes=True))
 
 
 def _places(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,8 +109,17 @@ class _Runs:
         return tk.mix64((self.sums[pos + 1] - self.sums[start]) * self.inverse[start] + np.asarray(length).astype(np.uint64) * _LENGTH)
 
 
+class Known:
+    """What is known of a shard: how often each token occurs in all texts, and of the longest run asked for that ends at each position and that another text has, its length and count there."""
+
+    def __init__(self, shard: "Shard"):
+        n = len(shard.at)
+        self.round, self.single, self.total = 0, np.zeros(len(shard.vocabulary), np.uint32), np.zeros(0, np.uint32)
+        self.length, self.count = np.zeros(n, np.uint8), np.zeros(n, np.uint32)
+
+
 class Shard:
-    """Texts and their suffix array; of the longest run known that ends at each position and that another text has, its length and count."""
+    """Texts and their suffix array, in which the order of positions is that of the tokens that end there, read backwards."""
 
     def __init__(self, ids: list[int | None], sizes: np.ndarray, hashes: np.ndarray):
         self.ids, self.sizes = ids, sizes
@@ -125,29 +135,28 @@ class Shard:
         where = np.full(n + texts, -1)
         where[seat] = np.arange(n)
         self.order = where[suffix_array(back)[texts:]].astype(np.uint32)
-        self.round, self.single, self.total = 0, np.zeros(n, np.uint32), np.zeros(0, np.uint32)
-        self.length, self.count = np.zeros(n, np.uint8), np.zeros(n, np.uint32)
 
-    def _asked(self):
-        """(length, positions in the array's order, first of each run) of the round's lengths."""
+    def _asked(self, known: Known):
+        """(length, positions in the array's order, first of each run, hash of each run, text of every token) by length of the round."""
         row, place = _places(self.sizes)
         runs = _Runs(self.vocabulary, self.at)
-        known = ROUNDS[self.round - 1][-1] if self.round else 0
-        own = self.order[self.length[self.order] == known].astype(np.int64)
-        for length in ROUNDS[self.round]:
+        least = ROUNDS[known.round - 1][-1] if known.round else 0
+        own = self.order[known.length[self.order] == least].astype(np.int64)
+        for length in ROUNDS[known.round]:
             own = own[place[own] >= length - 1]
             h = runs.hashes(own, length)
             head = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
             yield length, own, head, h[head], row
 
-    def request(self) -> tuple[np.ndarray, np.ndarray]:
+    def request(self, known: Known) -> tuple[np.ndarray, np.ndarray]:
         """(hash, count) of the runs to ask for."""
-        found = [(h, np.diff(np.r_[head, len(own)])) for _, own, head, h, _ in self._asked()]
+        found = [(h, np.diff(np.r_[head, len(own)])) for _, own, head, h, _ in self._asked(known)]
         return np.concatenate([h for h, _ in found]), np.concatenate([n for _, n in found])
 
-    def answer(self, totals: np.ndarray) -> int:
+    def answer(self, known: Known, totals: np.ndarray) -> int:
+        """Takes the sums for request(), in its order; returns how many positions are to be asked for next."""
         at = 0
-        for length, own, head, h, row in list(self._asked()):
+        for length, own, head, h, row in list(self._asked(known)):
             n = np.diff(np.r_[head, len(own)])
             total = np.repeat(totals[at : at + len(h)], n)
             at += len(h)
@@ -156,21 +165,22 @@ class Shard:
             mine[several] = _same((group[several] << 32) | row[own[several]])
             other = total - mine
             if length == 1:
-                self.single[own] = other
+                known.single[self.at[own]] = total
             some = other > 0
-            self.length[own[some]], self.count[own[some]] = length, other[some]
+            known.length[own[some]], known.count[own[some]] = length, other[some]
             if length == DENSE:
-                self.total = np.zeros(len(self.at), np.uint32)
-                self.total[own] = total
-        self.round += 1
-        return int((self.length == ROUNDS[self.round - 1][-1]).sum()) if self.round < len(ROUNDS) else 0
+                whole = np.zeros(len(self.at), np.uint32)
+                whole[own] = total
+                known.total = whole[known.length == DENSE]
+        known.round += 1
+        return int((known.length == ROUNDS[known.round - 1][-1]).sum())
 
-    def deep(self) -> "Deep":
+    def deep(self, known: Known) -> "Deep":
         """The stretches of positions at which a run of DENSE tokens ends that another text has, and the tokens that such runs cover."""
-        is_deep = self.length == DENSE
+        is_deep = known.length == DENSE
         first = np.flatnonzero(is_deep & ~np.r_[False, is_deep[:-1]])
         last = np.flatnonzero(is_deep & ~np.r_[is_deep[1:], False])
-        return Deep(self, first, last)
+        return Deep(self, known, first, last)
 
 
 class Deep:
@@ -181,16 +191,16 @@ class Deep:
     a + gap.  A length is asked for in a round of its own, and by all who may have it.
     """
 
-    def __init__(self, shard: Shard, first: np.ndarray, last: np.ndarray):
+    def __init__(self, shard: Shard, known: Known, first: np.ndarray, last: np.ndarray):
         self.first, self.sizes = first, last - first + DENSE
         row, place = _places(self.sizes)
         at = first[row] - (DENSE - 1) + place if len(first) else np.zeros(0, np.int64)
         self.text = _places(shard.sizes)[0][first]
         self.vocabulary, ids = np.unique(shard.at[at], return_inverse=True)
         self.vocabulary, self.at = shard.vocabulary[self.vocabulary], ids.astype(np.uint32)
-        self.length, self.count = shard.length[at].astype(np.uint32), shard.count[at]
+        self.length, self.count = known.length[at].astype(np.uint32), known.count[at]
         own = np.flatnonzero(place >= DENSE - 1)
-        self.doubling = [own.astype(np.uint32), np.full(len(own), DENSE, np.uint32), shard.total[at][own]]
+        self.doubling = [own.astype(np.uint32), np.full(len(own), DENSE, np.uint32), known.total]
         self.halving = [np.zeros(0, np.uint32) for _ in range(5)]
 
     def _asked(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -227,10 +237,17 @@ class Deep:
         return len(self.doubling[0]) + len(self.halving[0])
 
 
-def scores(ids: list, sizes: np.ndarray, single: np.ndarray, length: np.ndarray, count: np.ndarray, tokens: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+def scores(shard: Shard, known: Known, deep: Deep, tokens: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
     """(natural logarithm of the probability, longest context that another text has) of every token, of a corpus of so many tokens."""
-    row, place = _places(sizes)
-    p = np.maximum(single, 1) / (tokens - sizes[row] + 1)
+    row, place = _places(shard.sizes)
+    length, count = known.length.astype(np.int64), known.count
+    if len(deep.first):
+        stretch, k = _places(deep.sizes)
+        own = np.flatnonzero(k >= DENSE - 1)
+        at = deep.first[stretch[own]] - (DENSE - 1) + k[own]
+        length[at], count[at] = deep.length[own], deep.count[own]
+    single = known.single[shard.at] - _same((row.astype(np.int64) << 32) | shard.at)
+    p = np.maximum(single, 1) / (tokens - shard.sizes[row] + 1)
     context = np.where(place > 0, np.r_[0, length[:-1]], 0)
     of = np.flatnonzero(context)
     runs_on = length[of] == context[of] + 1
@@ -238,8 +255,7 @@ def scores(ids: list, sizes: np.ndarray, single: np.ndarray, length: np.ndarray,
     return np.log(p), context
 
 
-def _row(shard: int, left: int, tokens: int, state) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([left], pa.int64()), pa.array([tokens], pa.int64()), pa.array([_pack(state)], pa.binary())], ["shard", "open", "tokens", "state"])
+# ---------------------------------------------------------------- the rounds
 
 
 def _shards(size: int):
@@ -250,7 +266,7 @@ def _shards(size: int):
 
         def made() -> pa.RecordBatch:
             s = Shard([i for ids, _, _ in held for i in ids], np.concatenate([s for _, s, _ in held]), np.concatenate([h for _, _, h in held]))
-            return _row(own + k, len(s.at), len(s.at), s)
+            return pa.RecordBatch.from_arrays([pa.array([own + k], pa.int64()), pa.array([len(s.at)], pa.int64()), pa.array([_pack(s)], pa.binary())], ["shard", "tokens", "texts"])
 
         for b in batches:
             ids = b.column(0).to_pylist()
@@ -277,31 +293,59 @@ def _shards(size: int):
     return run
 
 
-def _buckets_of(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order by bucket, bounds of the buckets) of hashes."""
-    b = (((h >> np.uint64(40)) * np.uint64(buckets)) >> np.uint64(24)).astype(np.uint16 if buckets < 1 << 16 else np.uint32)
-    return np.argsort(b, kind="stable"), np.r_[0, np.cumsum(np.bincount(b, minlength=buckets))]
+def packed_hashes(h: np.ndarray) -> bytes:
+    """Sorted hashes: the first, then the steps to the next ones, in six bytes each if they all fit."""
+    steps = np.diff(h)
+    if len(steps) and int(steps.max()) >> 48:
+        return b"8" + h.tobytes()
+    return b"6" + h[:1].tobytes() + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked_hashes(x: bytes) -> np.ndarray:
+    if x[:1] == b"8":
+        return np.frombuffer(x, np.uint64, offset=1)
+    steps = np.zeros(((len(x) - 9) // 6, 8), np.uint8)
+    steps[:, :6] = np.frombuffer(x, np.uint8, offset=9).reshape(-1, 6)
+    return np.cumsum(np.r_[np.frombuffer(x, np.uint64, 1, 1), steps.reshape(-1).view("<u8")])
+
+
+def _bounds(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Where the buckets of sorted hashes begin, and the end."""
+    return np.r_[np.searchsorted(h, np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)), len(h)]
+
+
+def _opened(texts: pa.Table, told: pa.Table):
+    """The shard of a group, what is known of it, and the sums that came for its last request."""
+    shard = _unpack(texts.column("texts")[0].as_py()) if texts.num_columns > 1 else None
+    kind = told.column("kind").to_numpy()
+    state = [x.as_py() for x in told.filter(pa.array(kind == 0)).column("data")]
+    sums = [_unpack(x.as_py()) for x in told.filter(pa.array(kind == 1)).sort_by("bucket").column("data")]
+    known = _unpack(state[0]) if state else Known(shard)
+    return shard, known, np.concatenate([np.zeros(0, np.uint32), *sums]).astype(np.int64)
+
+
+def _request(shard, known) -> tuple[np.ndarray, np.ndarray]:
+    return known.request() if shard is None else shard.request(known)
 
 
 def _ask(buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for shard, state in zip(b.column(0).to_pylist(), b.column(1)):
-                h, n = _unpack(state.as_py()).request()
-                order, cuts = _buckets_of(h, buckets)
-                h, n = h[order], n[order].astype(np.int32)
-                some = np.flatnonzero(cuts[1:] > cuts[:-1])
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(some.astype(np.int32)), pa.array(np.full(len(some), shard), pa.int64()),
-                    pa.array([h[cuts[k] : cuts[k + 1]].tobytes() for k in some], pa.binary()), pa.array([n[cuts[k] : cuts[k + 1]].tobytes() for k in some], pa.binary())],
-                    ["bucket", "shard", "hashes", "counts"])
+    def run(key, texts: pa.Table, told: pa.Table) -> pa.Table:
+        h, n = _request(*_opened(texts, told)[:2])
+        order = np.argsort(h)
+        h, n = h[order], n[order].astype(np.uint32)
+        cuts = _bounds(h, buckets)
+        some = np.flatnonzero(cuts[1:] > cuts[:-1])
+        return pa.table([
+            pa.array(some.astype(np.int32)), pa.array(np.full(len(some), key[0].as_py()), pa.int64()),
+            pa.array([packed_hashes(h[cuts[k] : cuts[k + 1]]) for k in some], pa.binary()), pa.array([_pack(n[cuts[k] : cuts[k + 1]]) for k in some], pa.binary())],
+            ["bucket", "shard", "hashes", "counts"])
 
     return run
 
 
 def _sum(asked: pa.Table) -> pa.Table:
-    hashes = [np.frombuffer(x.as_py(), np.uint64) for x in asked.column("hashes")]
-    counts = np.concatenate([np.frombuffer(x.as_py(), np.int32) for x in asked.column("counts")])
+    hashes = [unpacked_hashes(x.as_py()) for x in asked.column("hashes")]
+    counts = np.concatenate([_unpack(x.as_py()) for x in asked.column("counts")])
     h = np.concatenate(hashes)
     order = np.argsort(h)
     head = np.flatnonzero(np.r_[True, h[order[1:]] != h[order[:-1]]])
@@ -309,50 +353,36 @@ def _sum(asked: pa.Table) -> pa.Table:
     total[order] = np.repeat(np.add.reduceat(counts[order].astype(np.int64), head), np.diff(np.r_[head, len(h)]))
     ends = np.cumsum([len(x) for x in hashes])
     out = [_pack(total[e - len(x) : e]) for x, e in zip(hashes, ends)]
-    return pa.table([asked.column("shard"), asked.column("bucket"), pa.array(out, pa.binary())], ["shard", "bucket", "totals"])
+    return pa.table([asked.column("shard"), pa.array([1] * len(out), pa.int32()), asked.column("bucket"), pa.array(out, pa.binary())], ["shard", "kind", "bucket", "data"])
 
 
-def _take(buckets: int):
-    def run(states: pa.Table, replies: pa.Table) -> pa.Table:
-        s = _unpack(states.column("state")[0].as_py())
-        found = np.concatenate([np.zeros(0, np.uint32), *(_unpack(x.as_py()) for x in replies.sort_by("bucket").column("totals"))]).astype(np.int64)
-        totals = np.empty(len(found), np.int64)
-        if len(found):
-            totals[_buckets_of(s.request()[0], buckets)[0]] = found
-        left = s.answer(totals)
-        return pa.Table.from_batches([_row(states.column("shard")[0].as_py(), left, states.column("tokens")[0].as_py(), s)])
-
-    return run
+def _take(key, texts: pa.Table, told: pa.Table) -> pa.Table:
+    shard, known, found = _opened(texts, told)
+    totals = np.empty(len(found), np.int64)
+    if len(found):
+        totals[np.argsort(_request(shard, known)[0])] = found
+    left = known.answer(totals) if shard is None else shard.answer(known, totals)
+    return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([left], pa.int64()), pa.array([_pack(known)], pa.binary())], ["shard", "open", "state"])
 
 
-def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A shard's deep stretches as the state of further rounds, and apart from it what is known of the rest."""
-    for b in batches:
-        for shard, tokens, state in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3)):
-            s = _unpack(state.as_py())
-            deep = s.deep()
-            row = _row(shard, len(deep.doubling[0]), tokens, deep)
-            yield pa.RecordBatch.from_arrays([*row.columns, pa.array([_pack((s.ids, s.sizes, s.single, s.length, s.count))], pa.binary())], [*row.schema.names, "known"])
+def _split(key, texts: pa.Table, told: pa.Table) -> pa.Table:
+    shard, known, _ = _opened(texts, told)
+    deep = shard.deep(known)
+    return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([len(deep.doubling[0])], pa.int64()), pa.array([_pack(deep)], pa.binary())], ["shard", "open", "state"])
 
 
 _OUT = "doc_id long, n_tokens int, log_prob double, bits_per_token double, mean_context double, longest_context int"
 
 
 def _finish(tokens: int, alpha: float):
-    def run(known: pa.Table, states: pa.Table) -> pa.Table:
-        ids, sizes, single, length, count = _unpack(known.column("known")[0].as_py())
-        deep = _unpack(states.column("state")[0].as_py())
-        length = length.astype(np.int64)
-        if len(deep.first):
-            row, place = _places(deep.sizes)
-            own = np.flatnonzero(place >= DENSE - 1)
-            at = deep.first[row[own]] - (DENSE - 1) + place[own]
-            length[at], count[at] = deep.length[own], deep.count[own]
-        log, context = scores(ids, sizes, single, length, count, tokens, alpha)
-        row = _places(sizes)[0]
+    def run(key, texts: pa.Table, told: pa.Table) -> pa.Table:
+        shard, known, _ = _opened(texts, told)
+        deep = _unpack(told.filter(pa.array(told.column("kind").to_numpy() == 2)).column("data")[0].as_py())
+        log, context = scores(shard, known, deep, tokens, alpha)
+        sizes, row = shard.sizes, _places(shard.sizes)[0]
         total = np.bincount(row, log, len(sizes))
         longest = np.maximum.reduceat(context, np.cumsum(sizes) - sizes)
-        return pa.table([pa.array(ids, pa.int64()), pa.array(sizes.astype(np.int32)), pa.array(total), pa.array(-total / sizes / np.log(2)), pa.array(np.bincount(row, context, len(sizes)) / sizes), pa.array(longest.astype(np.int32))], [x.split()[0] for x in _OUT.split(", ")])
+        return pa.table([pa.array(shard.ids, pa.int64()), pa.array(sizes.astype(np.int32)), pa.array(total), pa.array(-total / sizes / np.log(2)), pa.array(np.bincount(row, context, len(sizes)) / sizes), pa.array(longest.astype(np.int32))], [x.split()[0] for x in _OUT.split(", ")])
 
     return run
 
@@ -363,7 +393,8 @@ def score_each(docs: DataFrame, *, alpha: float = 0.5, shard_tokens: int = SHARD
     log_prob is the sum of natural logarithms; the contexts are the longest before each token that another
     text has, of any length.  Occurrences in the text itself, and its tokens, don't count; copies of it in
     other rows do.  Tokens are separated by white space, in lower case, and runs of them are compared by 64-bit
-    hashes; the driver holds none of them.
+    hashes; the driver holds none of them.  The shards lie partitioned in the shared folder and stay where
+    they are; what moves in a round are the runs asked for, their sums, and what is known by then.
 
     Defined cases: a null or empty text is left out; one with a null id counts for the others but isn't
     returned; rows that repeat an id are texts of their own, scored each; a very long text makes a shard of
@@ -377,35 +408,36 @@ def score_each(docs: DataFrame, *, alpha: float = 0.5, shard_tokens: int = SHARD
     def kept(df: DataFrame, name: str) -> DataFrame:
         """df from files: a checkpoint would keep its estimated size, which a cogroup squares in each round."""
         df.write.parquet(f"{folder}/{name}")
+        spark.sparkContext._jvm.System.gc()  # the shuffle files of earlier rounds go
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
     def gone(name: str) -> None:
         old = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
         old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
-        spark.sparkContext._jvm.System.gc()  # the shuffle files of earlier rounds go
 
-    def next_round(state: DataFrame, buckets: int) -> DataFrame:
-        asked = state.select("shard", "state").mapInArrow(_ask(buckets), "bucket int, shard long, hashes binary, counts binary")
-        sums = asked.groupBy("bucket").applyInArrow(_sum, "shard long, bucket int, totals binary")
-        return state.select("shard", "open", "tokens", "state").groupBy("shard").cogroup(sums.groupBy("shard")).applyInArrow(_take(buckets), _STATE)
+    def told(state: DataFrame, kind: int = 0) -> DataFrame:
+        return state.select("shard", F.lit(kind).alias("kind"), F.lit(0).alias("bucket"), F.col("state").alias("data"))
+
+    def next_round(fixed: DataFrame, state: DataFrame) -> DataFrame:
+        fixed = fixed.groupBy("shard")
+        asked = fixed.cogroup(told(state).groupBy("shard")).applyInArrow(_ask(buckets), "bucket int, shard long, hashes binary, counts binary")
+        sums = asked.groupBy("bucket").applyInArrow(_sum, "shard long, kind int, bucket int, data binary")
+        return fixed.cogroup(told(state).union(sums).groupBy("shard")).applyInArrow(_take, _STATE)
 
-    state = kept(texts.mapInArrow(_shards(shard_tokens), _STATE), "dense-0")
-    tokens = state.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    fixed = cut(texts.mapInArrow(_shards(shard_tokens), _FIXED).repartition(shuffle_partitions(spark), "shard"))
+    tokens = fixed.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     if not tokens:
         return spark.createDataFrame([], _OUT)
+    fixed = fixed.select("shard", "texts")
     buckets = max(shuffle_partitions(spark), -(-tokens // bucket_runs))
+    known = spark.createDataFrame([], _STATE)
     for k in range(len(ROUNDS)):
-        state = kept(next_round(state, buckets), f"dense-{k + 1}")
-        gone(f"dense-{k}")
-    split = kept(state.mapInArrow(_split, f"{_STATE}, known binary"), "split")
-    gone(f"dense-{len(ROUNDS)}")
-    state, k = split.drop("known"), 0
-    left = state.agg(F.sum("open")).first()[0]
-    while left:
-        state = kept(next_round(state, buckets), f"deep-{k + 1}")
-        left = state.agg(F.sum("open")).first()[0]
+        known = kept(next_round(fixed, known), f"dense-{k}")
         if k:
-            gone(f"deep-{k}")
+            gone(f"dense-{k - 1}")
+    state, k = kept(fixed.groupBy("shard").cogroup(told(known).groupBy("shard")).applyInArrow(_split, _STATE), "deep-0"), 0
+    while state.agg(F.sum("open")).first()[0]:
+        state = kept(next_round(state.select("shard"), state), f"deep-{k + 1}")
+        gone(f"deep-{k}")
         k += 1
-    known = split.select("shard", "known").groupBy("shard")
-    return known.cogroup(state.select("shard", "state").groupBy("shard")).applyInArrow(_finish(tokens, alpha), _OUT).where("doc_id is not null")
+    return fixed.groupBy("shard").cogroup(told(known).union(told(state, 2)).groupBy("shard")).applyInArrow(_finish(tokens, alpha), _OUT).where("doc_id is not null")

@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from tarnwick.llm import ngram_lm, queries
@@ -42,6 +43,12 @@ def test_each_text_by_the_others(spark, more):
         assert got[k] == x
 
 
+def test_packed_hashes():
+    for h in ([5], [1, 2, 3], [0, 2**48 - 1, 2**63], [7, 2**48 + 6], [0, 2**64 - 1]):
+        a = np.array(h, np.uint64)
+        assert ngram_lm.unpacked_hashes(ngram_lm.packed_hashes(a)).tolist() == h
+
+
 def test_a_long_text_that_others_have(spark):
     """20,000 words, which the corpus holds whole, in part and with changes."""
     r = random.Random(9)
