@@ -77,6 +77,11 @@ def _unpack(x: bytes):
     return pickle.loads(pa.Codec("zstd").decompress(memoryview(x)[8:], int.from_bytes(x[:8], "little"), asbytes=True))
 
 
+def _planes(x: np.ndarray) -> np.ndarray:
+    """The lowest bytes of all numbers, then the next ones, and so on: they are packed better so."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T)
+
+
 def _places(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Text of every token, and its place in it."""
     row = np.repeat(np.arange(len(sizes)), sizes)
@@ -136,6 +141,13 @@ class Shard:
         where[seat] = np.arange(n)
         self.order = where[suffix_array(back)[texts:]].astype(np.uint32)
 
+    def __getstate__(self):
+        return self.ids, self.sizes, packed_hashes(self.vocabulary), _planes(self.at), _planes(self.order)
+
+    def __setstate__(self, x):
+        self.ids, self.sizes = x[:2]
+        self.vocabulary, self.at, self.order = unpacked_hashes(x[2]), *(np.ascontiguousarray(a.T).view(np.uint32)[:, 0] for a in x[3:])
+
     def _asked(self, known: Known):
         """(length, positions in the array's order, first of each run, hash of each run, text of every token) by length of the round."""
         row, place = _places(self.sizes)
@@ -424,7 +436,13 @@ def score_each(docs: DataFrame, *, alpha: float = 0.5, shard_tokens: int = SHARD
         sums = asked.groupBy("bucket").applyInArrow(_sum, "shard long, kind int, bucket int, data binary")
         return fixed.cogroup(told(state).union(sums).groupBy("shard")).applyInArrow(_take, _STATE)
 
-    fixed = cut(texts.mapInArrow(_shards(shard_tokens), _FIXED).repartition(shuffle_partitions(spark), "shard"))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else the checkpoint wouldn't know how it is partitioned, and be shuffled in each round
+    try:
+        fixed = cut(texts.mapInArrow(_shards(shard_tokens), _FIXED).repartition(shuffle_partitions(spark), "shard"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    spark.sparkContext._jvm.System.gc()  # the shuffle that it came from goes
     tokens = fixed.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     if not tokens:
         return spark.createDataFrame([], _OUT)
