@@ -15,9 +15,10 @@ With K the longest context of a token w that other texts have, c(K) its count th
 
 from __future__ import annotations
 
+import gc
 import pickle
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ from tarnwick.llm import textkernel as tk
 from tarnwick.llm.session import checkpoint_dir, cut, shuffle_partitions
 
 SHARD_TOKENS, BUCKET_RUNS = 2_000_000, 3_000_000
-#: Lengths asked for one by one, by round; the last is DENSE.
-ROUNDS = ((1, 2), (3, 4), (5, 6), (7, 8))
+#: Lengths asked for one by one, by round: few at a time while many runs are left; the last is DENSE.
+ROUNDS = ((1,), (2,), (3,), (4, 5), (6, 7, 8))
 DENSE = ROUNDS[-1][-1]
 _BASE, _LENGTH, _TEXT = 0x9FB21C651E98DF25, np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 _FIXED = "shard long, tokens long, texts binary"
@@ -417,11 +418,16 @@ def score_each(docs: DataFrame, *, alpha: float = 0.5, shard_tokens: int = SHARD
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("length(text) > 0")
     folder = f"{checkpoint_dir(spark).rstrip('/')}/ngram-lm-{uuid.uuid4().hex}"
 
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        """df from files: a checkpoint would keep its estimated size, which a cogroup squares in each round."""
-        df.write.parquet(f"{folder}/{name}")
-        spark.sparkContext._jvm.System.gc()  # the shuffle files of earlier rounds go
-        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+    def kept(made: Callable[[], DataFrame], name: str) -> DataFrame:
+        """What is made, from files: a checkpoint would keep its estimated size, which a cogroup squares in each round."""
+        made().write.parquet(f"{folder}/{name}")
+        free()
+        return spark.read.schema(_STATE).parquet(f"{folder}/{name}")
+
+    def free() -> None:
+        """The shuffle files of what nothing refers to any more go, instead of when the driver happens to collect its garbage."""
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
     def gone(name: str) -> None:
         old = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
@@ -442,7 +448,7 @@ def score_each(docs: DataFrame, *, alpha: float = 0.5, shard_tokens: int = SHARD
         fixed = cut(texts.mapInArrow(_shards(shard_tokens), _FIXED).repartition(shuffle_partitions(spark), "shard"))
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
-    spark.sparkContext._jvm.System.gc()  # the shuffle that it came from goes
+    free()
     tokens = fixed.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     if not tokens:
         return spark.createDataFrame([], _OUT)
@@ -450,12 +456,12 @@ def score_each(docs: DataFrame, *, alpha: float = 0.5, shard_tokens: int = SHARD
     buckets = max(shuffle_partitions(spark), -(-tokens // bucket_runs))
     known = spark.createDataFrame([], _STATE)
     for k in range(len(ROUNDS)):
-        known = kept(next_round(fixed, known), f"dense-{k}")
+        known = kept(lambda: next_round(fixed, known), f"dense-{k}")  # noqa: B023
         if k:
             gone(f"dense-{k - 1}")
-    state, k = kept(fixed.groupBy("shard").cogroup(told(known).groupBy("shard")).applyInArrow(_split, _STATE), "deep-0"), 0
+    state, k = kept(lambda: fixed.groupBy("shard").cogroup(told(known).groupBy("shard")).applyInArrow(_split, _STATE), "deep-0"), 0
     while state.agg(F.sum("open")).first()[0]:
-        state = kept(next_round(state.select("shard"), state), f"deep-{k + 1}")
+        state = kept(lambda: next_round(state.select("shard"), state), f"deep-{k + 1}")  # noqa: B023
         gone(f"deep-{k}")
         k += 1
     return fixed.groupBy("shard").cogroup(told(known).union(told(state, 2)).groupBy("shard")).applyInArrow(_finish(tokens, alpha), _OUT).where("doc_id is not null")
