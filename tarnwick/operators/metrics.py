@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwick.functions import columns as C
+from tarnwick.plans.lineage import cut
 
 
 def linear_scores(features: DataFrame, weights: DataFrame, key: str = "key") -> DataFrame:
@@ -27,9 +28,10 @@ def negative_log_likelihood(scored: DataFrame, label: str = "label", h: str = "p
 def auc(scored: DataFrame, score: str = "score", label: str = "label", pieces: int = 256) -> DataFrame:
     """One row (positives, negatives, auc): the share of pairs in the right order, ties by half.
 
-    Scores are grouped first, and cut into pieces at their quantiles; negatives below a score are those of
+    Scores are computed once and grouped, and cut into pieces at their quantiles; negatives below a score are those of
     the pieces before and those before it in its piece, so no task sorts all scores.
     """
+    scored = cut(scored.select(score, label))
     g = scored.groupBy(F.col(score).cast("double").alias("s")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("n"))
     bounds = scored.agg(F.percentile_approx(F.col(score).cast("double"), [k / pieces for k in range(1, pieces)], 10_000)).first()[0] or []
     g = g.withColumn("__b", F.size(F.filter(F.lit(sorted(set(bounds))).cast("array<double>"), lambda b: b <= F.col("s"))))

@@ -81,11 +81,3 @@ def fit_softmax(samples: DataFrame, *, dim: int, classes: int, rate: float = 0.1
     """Weights [key, class]; one_more makes iterations + 1 passes."""
     table = init or ParamTable.create(samples.sparkSession, dim, classes)
     return train(samples, table, _kernel(softmax_pass, rate, classes), mode=mode, iterations=iterations + one_more, parts=parts, batch_size=batch_size)
-
-
-def running_cost(batch_sums: list[float], batch_size: int) -> float:
-    """The cost that divides the running total by the batch size after every batch, kept for comparison with older logs."""
-    total = 0.0
-    for s in batch_sums:
-        total = (total + s) / batch_size
-    return total

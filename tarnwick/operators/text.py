@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwick.functions import columns as C
+from tarnwick.plans.lineage import cut
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -25,6 +26,11 @@ def embedding_tokens(docs: DataFrame, **cols) -> DataFrame:
     return own.select("doc_id", "line_no", F.posexplode(C.embedding_words(F.col("line"))).alias("pos", "word"))
 
 
+def embedding_lines(docs: DataFrame, **cols) -> DataFrame:
+    """(doc_id, line_no, words): the tokens of embedding_tokens, one array for each line."""
+    return lines(docs, **cols).where(C.not_blank(F.col("line"), trim=False)).select("doc_id", "line_no", C.embedding_words(F.col("line")).alias("words"))
+
+
 def word_counts(tokens: DataFrame, more_than: int = 0) -> DataFrame:
     """(word, count) of words that come more than so many times."""
     return tokens.groupBy("word").count().where(F.col("count") > more_than)
@@ -44,9 +50,9 @@ def dense_ids(df: DataFrame, pieces: list[Column], last: str) -> DataFrame:
     """df with id, from 0, in ascending order of pieces and then of column last.
 
     Rows are ranked within the pieces that the first columns make, and shifted by the sizes of the pieces
-    before; so no single task sorts all rows.
+    before; so no single task sorts all rows.  df is computed once, as it is read for both.
     """
-    own = df.withColumn("__b", F.struct(*(c.alias(f"p{k}") for k, c in enumerate(pieces))))
+    own = cut(df.withColumn("__b", F.struct(*(c.alias(f"p{k}") for k, c in enumerate(pieces)))))
     before = own.groupBy("__b").count().withColumn("__n", F.sum("count").over(Window.orderBy("__b")) - F.col("count")).select(F.col("__b").alias("__of"), "__n")
     ranked = own.withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy(last)) - 1)
     return ranked.join(before, F.col("__b") == F.col("__of")).withColumn("id", (F.col("__r") + F.col("__n")).cast("int")).drop("__b", "__of", "__n", "__r")
@@ -62,14 +68,30 @@ def corpus_stats(encoded: DataFrame) -> DataFrame:
     return encoded.agg(F.countDistinct("doc_id").alias("docs"), F.count("*").alias("tokens"))
 
 
-def context_pairs(tokens: DataFrame, window: int, sentence: str = "doc_id") -> DataFrame:
-    """(sentence, center, context, center_word, context_word) of all pairs of a sentence at most window positions apart.
+def context_pairs(sentences: DataFrame, window: int, words: str = "words") -> DataFrame:
+    """sentences with center, context, center_word, context_word: a row for each pair of words of a sentence at most window places apart.
 
-    Each token is put on the positions around it, so this is an equi-join and not a join by a range.
+    A sentence is an array of words in one row, so its pairs are made in the row, without a join.
     """
-    near = tokens.select(F.col(sentence).alias("__s"), F.col("pos").alias("context"), F.col("word").alias("context_word"), F.explode(F.sequence(F.col("pos") - window, F.col("pos") + window)).alias("__at"))
-    own = tokens.select(sentence, F.col("pos").alias("center"), F.col("word").alias("center_word"))
-    return own.join(near, (F.col(sentence) == F.col("__s")) & (F.col("center") == F.col("__at")) & (F.col("center") != F.col("context"))).select(sentence, "center", "context", "center_word", "context_word")
+    w = F.col(words)
+    last = F.size(w) - 1
+
+    def around(i: Column) -> Column:
+        near = F.sequence(F.greatest(i - window, F.lit(0)), F.least(i + window, last))
+        return F.transform(F.filter(near, lambda j: j != i), lambda j: F.struct(i.alias("center"), j.alias("context"), F.get(w, i).alias("center_word"), F.get(w, j).alias("context_word")))
+
+    pairs = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), last), around)))
+    return sentences.where(last >= 0).withColumn("__pair", pairs).select(*(c for c in sentences.columns if c != words), "__pair.*")
+
+
+def distinct_ids(encoded: DataFrame) -> DataFrame:
+    """(doc_id, word_ids): the distinct words of each document, in order of their ids."""
+    return encoded.groupBy("doc_id").agg(F.array_sort(F.collect_set("word_id")).alias("word_ids"))
+
+
+def kept_tokens(counts: DataFrame) -> DataFrame:
+    """One row (words, tokens) of a vocabulary's counts."""
+    return counts.agg(F.count("*").alias("words"), F.coalesce(F.sum("count"), F.lit(0)).alias("tokens"))
 
 
 def similarities(vectors: DataFrame, word_id: int) -> DataFrame:

@@ -13,6 +13,7 @@ from tarnwick.operators.keys import All, Empty, Hash, Keys, Range
 from tarnwick.operators.params import ParamTable
 from tarnwick.operators.training import Trained
 from tarnwick.plans import schedule
+from tarnwick.plans.lineage import cut
 from tarnwick.plans.schedule import Mode
 from tarnwick.sources import parsers
 
@@ -106,11 +107,15 @@ SELECT a.id AS a, b.id AS b, a.first <= b.last AND b.first <= a.last AS overlap,
   least(a.first, b.first) AS hull_first, greatest(a.last, b.last) AS hull_last
 FROM r a JOIN r b ON a.id < b.id""")
 def key_overlap_hull(spark, sf):
-    r = table(spark, sf, "nation").groupBy(F.col("n_regionkey").alias("id")).agg(F.min("n_nationkey").alias("first"), F.max("n_nationkey").alias("last"))
-    a, b = r.toDF("a", "fa", "la"), r.toDF("b", "fb", "lb")
-    overlap = (F.col("fa") <= F.col("lb")) & (F.col("fb") <= F.col("la"))
-    pairs = a.join(F.broadcast(b), F.col("a") < F.col("b")) if r.count() < 10_000 else a.join(b, F.col("a") < F.col("b"))
-    return pairs.select("a", "b", overlap.alias("overlap"), F.when(overlap, F.greatest("fa", "fb")).alias("common_first"), F.when(overlap, F.least("la", "lb")).alias("common_last"), F.least("fa", "fb").alias("hull_first"), F.greatest("la", "lb").alias("hull_last"))
+    """Of the key ranges of partitions, one of which each server holds."""
+    rows = table(spark, sf, "nation").groupBy(F.col("n_regionkey").alias("id")).agg(F.min("n_nationkey").alias("first"), F.max("n_nationkey").alias("last")).collect()
+    own = sorted((r["id"], Range(r["first"], r["last"])) for r in rows)
+    out = []
+    for k, (a, x) in enumerate(own):
+        for b, y in own[k + 1 :]:
+            common, hull = x.common(y), x.hull(y)
+            out.append((a, b, x.overlaps(y), common and common.first, common and common.last, hull.first, hull.last))
+    return spark.createDataFrame(out, "a int, b int, overlap boolean, common_first int, common_last int, hull_first int, hull_last int")
 
 
 @query("""SELECT p_partkey AS key, round(p_retailprice + coalesce(d, 0), 4) AS value
@@ -293,17 +298,27 @@ def dictionary_encode(spark, sf):
     return text.encode(t, text.vocabulary_by_count(text.word_counts(t, 50)))
 
 
-@query(f"SELECT count(DISTINCT doc_id) AS docs, count(*) AS tokens, count(DISTINCT word) AS words FROM ({_TOPIC})")
+@query(f"SELECT count(DISTINCT doc_id) AS docs, count(*) AS tokens FROM ({_TOPIC})")
 def corpus_stats(spark, sf):
-    t = topic_tokens_of(spark, sf)
-    return t.agg(F.countDistinct("doc_id").alias("docs"), F.count("*").alias("tokens"), F.countDistinct("word").alias("words"))
+    return text.corpus_stats(topic_tokens_of(spark, sf))
+
+
+@query(f"SELECT count(*) AS words, CAST(coalesce(sum(n), 0) AS BIGINT) AS tokens FROM (SELECT word, count(*) AS n FROM ({_EMBED}) GROUP BY 1 HAVING count(*) > 50)")
+def kept_tokens(spark, sf):
+    return text.kept_tokens(text.word_counts(embedding_tokens_of(spark, sf), 50))
+
+
+@query(f"""WITH t AS ({_EMBED}), v AS ({_VOCABULARY}) SELECT doc_id, list_sort(list(DISTINCT id)) AS word_ids FROM t JOIN v USING (word) GROUP BY 1""")
+def distinct_ids(spark, sf):
+    t = embedding_tokens_of(spark, sf)
+    return text.distinct_ids(text.encode(t, text.vocabulary_by_count(text.word_counts(t, 50))))
 
 
 @query(f"""WITH t AS ({_EMBED}) SELECT a.word AS center_word, b.word AS context_word, count(*) AS n
 FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.line_no = b.line_no AND b.pos BETWEEN a.pos - 2 AND a.pos + 2 AND a.pos <> b.pos GROUP BY 1, 2""")
 def context_pairs(spark, sf):
-    t = embedding_tokens_of(spark, sf).withColumn("s", F.struct("doc_id", "line_no"))
-    return text.context_pairs(t, 2, "s").groupBy("center_word", "context_word").agg(F.count("*").alias("n"))
+    t = text.embedding_lines(table(spark, sf, "documents"))
+    return text.context_pairs(t, 2).groupBy("center_word", "context_word").agg(F.count("*").alias("n"))
 
 
 # ------------------------------------------------------------ topic model
@@ -317,7 +332,7 @@ FROM ({_TOPIC}) JOIN ({_VOCABULARY_TOPIC}) USING (word)"""
 def topic_state(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """(tokens with their first topics, vocabulary)."""
     t = topic_tokens_of(spark, sf)
-    vocabulary = text.vocabulary_by_word(t)
+    vocabulary = cut(text.vocabulary_by_word(t))
     encoded = text.encode(t.withColumn("pos", F.col("line_no").cast("long") * 100_000 + F.col("pos")).drop("line_no"), vocabulary)
     return topics.assign_topics(encoded, TOPICS.k), vocabulary
 
@@ -346,13 +361,20 @@ inn AS (SELECT p.doc_id, p.word_id, any_value(p.n) AS n, sum((coalesce(dk.n, 0)
 SELECT CAST(sum(n) AS BIGINT) AS tokens, round(exp(-sum(n * ln(s)) / sum(n)), 4) AS perplexity FROM inn""")
 def topic_perplexity(spark, sf):
     tokens, vocabulary = topic_state(spark, sf)
-    return metrics.perplexity(tokens, TOPICS.k, TOPICS.alpha, TOPICS.beta, vocabulary.count()).withColumn("perplexity", F.round("perplexity", 4))
+    return metrics.perplexity(cut(tokens.select("doc_id", "word_id", "topic")), TOPICS.k, TOPICS.alpha, TOPICS.beta, vocabulary.count()).withColumn("perplexity", F.round("perplexity", 4))
+
+
+def _differing(keys: str) -> str:
+    own, given = (f"(SELECT {keys}, count(*) AS n FROM t {w} GROUP BY ALL)" for w in ("", "WHERE doc_id % 10 <> 3"))
+    return f"(SELECT count(*) FROM {own} a LEFT JOIN {given} b USING ({keys}) WHERE a.n <> coalesce(b.n, 0))"
 
 
-@query("SELECT 0::BIGINT AS topic_diffs, 0::BIGINT AS word_diffs")
+@query(f"WITH t AS MATERIALIZED ({_TOPIC_TOKENS}) SELECT {_differing('topic')} AS topic_diffs, {_differing('word_id, topic')} AS word_diffs, {_differing('doc_id, topic')} AS doc_diffs")
 def topic_verify(spark, sf):
-    tokens, _ = topic_state(spark, sf)
-    return topics.mismatches(tokens, topics.topic_counts(tokens), topics.word_topic_counts(tokens))
+    """Counts from which a tenth of the documents is missing, against all tokens."""
+    tokens = cut(topic_state(spark, sf)[0])
+    counted = tokens.where("doc_id % 10 <> 3")
+    return topics.mismatches(tokens, topics.topic_counts(counted), topics.word_topic_counts(counted), topics.doc_topic_counts(counted))
 
 
 @query()
@@ -366,7 +388,7 @@ def topic_train(spark, sf):
 def topic_infer(spark, sf):
     tokens, vocabulary = topic_state(spark, sf)
     model = topics.TopicModel(tokens, vocabulary.count(), TOPICS)
-    return topics.infer(model, tokens, sweeps=5)
+    return topics.infer(model, tokens)
 
 
 # ------------------------------------------------------------ regression
@@ -381,10 +403,10 @@ def bag_of_words(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Da
     """((sample_id, key, value), (sample_id, label), vocabulary) of the labelled documents."""
     labels = table(spark, sf, "labels").select(F.col("doc_id").alias("sample_id"), F.col("quality").alias("label"))
     docs = table(spark, sf, "documents").join(labels, F.col("doc_id") == F.col("sample_id"), "left_semi")
-    tokens = text.topic_tokens(docs)
-    vocabulary = text.vocabulary_by_word(tokens)
-    counts = tokens.groupBy("doc_id", "word").count().withColumn("value", F.col("count") / F.sum("count").over(Window.partitionBy("doc_id")))
-    rows = counts.join(vocabulary, "word").select(F.col("doc_id").alias("sample_id"), F.col("id").cast("long").alias("key"), "value")
+    counts = cut(text.topic_tokens(docs).groupBy("doc_id", "word").count())
+    vocabulary = cut(text.vocabulary_by_word(counts))
+    counts = counts.withColumn("value", F.col("count") / F.sum("count").over(Window.partitionBy("doc_id")))
+    rows = cut(counts.join(vocabulary, "word").select(F.col("doc_id").alias("sample_id"), F.col("id").cast("long").alias("key"), "value"))
     return rows, labels.join(rows.select("sample_id").distinct(), "sample_id", "left_semi"), vocabulary
 
 
@@ -538,7 +560,7 @@ def _embedding(spark: SparkSession, sf: str, cbow: bool) -> DataFrame:
     t = embedding_tokens_of(spark, sf)
     vocabulary = text.vocabulary_by_count(text.word_counts(t, 50))
     samples = embed.sentences(text.encode(t, vocabulary))
-    model = embed.train(samples, vocabulary, embed.Params(size=10, window=3, iterations=1, cbow=cbow), mode="bsp")
+    model = embed.train(samples, vocabulary, embed.Params(size=10, window=7, iterations=1, cbow=cbow), mode="bsp")
     return vocabulary.select("id", "word").join(model.words.df, F.col("id") == F.col("key")).select("word", "values")
 
 

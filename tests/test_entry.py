@@ -26,11 +26,29 @@ def test_imports_without_the_optional_parts(tmp_path):
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True)
 
 
+def test_a_broken_optional_part_is_not_passed_over(tmp_path):
+    shutil.copytree(f"{REPO}/tarnwick", tmp_path / "tarnwick", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{REPO}/__spark_entry__.py", tmp_path)
+    (tmp_path / "tarnwick/llm").mkdir()
+    (tmp_path / "tarnwick/llm/__init__.py").touch()
+    (tmp_path / "tarnwick/llm/queries.py").write_text("import no_such_module")
+    (tmp_path / "corpus_pipeline.py").touch()
+    done = subprocess.run([sys.executable, "-B", "-c", "import __spark_entry__ as e; e.queries()"], cwd=tmp_path, capture_output=True, text=True)
+    assert done.returncode and "no_such_module" in done.stderr
+
+
+def test_pairs_within_a_window(spark):
+    df = spark.createDataFrame([(1, ["a", "b", "c", "d"]), (2, ["x"]), (3, []), (4, None)], "s int, words array<string>")
+    got = {(r["s"], r["center"], r["context"], r["center_word"] + r["context_word"]) for r in text.context_pairs(df, 2).collect()}
+    w = "abcd"
+    assert got == {(1, i, j, w[i] + w[j]) for i in range(4) for j in range(4) if i != j and abs(i - j) <= 2}
+
+
 def plain(v):
     return None if v is None or v != v else repr(v + 0.0) if isinstance(v, float) else str(v)
 
 
-@pytest.mark.parametrize("name", ["fetch_keys", "key_intersect", "linear_split", "push_array", "push_matrix", "push_guarded", "push_adagrad", "delta_prune", "cells_to_dense", "table_fill", "parse_sparse", "parse_dense", "parse_ratings", "vocabulary_topic", "vocabulary_embedding", "topic_perplexity", "lr_predict", "lr_auc", "lr_gd_steps", "mlr_softmax", "mlr_validate", "synonyms_topk", "als_half_step", "als_rmse", "ssp_lag", "sigmoid_table"])
+@pytest.mark.parametrize("name", ["fetch_keys", "key_intersect", "linear_split", "push_array", "push_matrix", "push_guarded", "push_adagrad", "delta_prune", "cells_to_dense", "table_fill", "parse_sparse", "parse_dense", "parse_ratings", "vocabulary_topic", "vocabulary_embedding", "topic_perplexity", "topic_verify", "context_pairs", "key_overlap_hull", "corpus_stats", "kept_tokens", "distinct_ids", "lr_predict", "lr_auc", "lr_gd_steps", "mlr_softmax", "mlr_validate", "synonyms_topk", "als_half_step", "als_rmse", "ssp_lag", "sigmoid_table"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for f in os.listdir(SF):

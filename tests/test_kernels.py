@@ -56,3 +56,24 @@ def test_linear_algebra():
     assert K.unit_gaussian_rows(np.array([4]), 5)[0] == pytest.approx(rows[1])
     assert [K.cumulative_draw(np.array([1.0, 0, 3]), u) for u in (0.0, 0.2, 0.25, 0.99)] == [0, 0, 2, 2]
     assert (K.congruential(5) < 2**64).all()
+
+
+def test_alias_draws_follow_the_weights_of_each_row():
+    p = np.array([[1.0, 2.0, 7.0], [5.0, 0.0, 5.0]])
+    tables = [K.alias_table(row) for row in p]
+    table = tuple(np.stack([t[c] for t in tables]) for c in range(2))
+    r = np.random.default_rng(0)
+    row, slot = np.repeat([0, 1], 60_000), r.integers(0, 3, 120_000)
+    out = K.alias_draw(table, (row, slot), slot, r.random(120_000))
+    for k in range(2):
+        assert np.bincount(out[row == k], minlength=3) / 60_000 == pytest.approx(p[k] / p[k].sum(), abs=0.01)
+
+
+def test_array_columns(spark):
+    from pyspark.sql import functions as F
+
+    from tarnwick.functions import columns as C
+
+    row = spark.createDataFrame([([1.0, 2.0], [0.5, 0.25], [10.0, 20.0], {1: 2.0, 5: 3.0}, {1: 4.0})], "x array<double>, r array<double>, y array<double>, f map<int,double>, w map<int,double>")
+    got = row.select(C.scaled_axpy(F.lit(2.0), F.col("x"), F.col("r"), F.col("y")).alias("a"), C.sparse_dot(F.col("f"), F.col("w")).alias("d")).first()
+    assert list(got["a"]) == [11.0, 21.0] and got["d"] == 8.0

@@ -117,7 +117,7 @@ def test_topic_training_in_spark(spark):
     tokens = topics.assign_topics(spark.createDataFrame(rows, "doc_id long, pos long, word_id int"), 2)
     model = topics.train(tokens, 6, topics.Params(k=2, alpha=0.1, beta=0.1, iterations=2, parts=3))
     assert model.tokens.count() == 200 and len(model.perplexities) == 2
-    bad = topics.mismatches(model.tokens, topics.topic_counts(tokens), topics.word_topic_counts(model.tokens)).first()
+    bad = topics.mismatches(model.tokens, topics.topic_counts(tokens), topics.word_topic_counts(model.tokens), topics.doc_topic_counts(model.tokens)).first()
     assert bad["word_diffs"] == 0
     counts = {r["doc_id"]: sum(r["counts"]) for r in topics.infer(model, tokens.union(spark.createDataFrame([(99, 0, 77, 0)], topics.TOKENS).select(tokens.columns)), sweeps=3).collect()}
     assert counts == dict.fromkeys(range(20), 10)
