@@ -43,11 +43,28 @@ def knapsack(value: np.ndarray, size: np.ndarray, capacity: int) -> tuple[float,
     return float(best[capacity]), out
 
 
-def column_generation(size: np.ndarray, demand: np.ndarray, capacity: int, patience: int = 1000) -> tuple[np.ndarray, np.ndarray, float]:
+def inverted(a: np.ndarray) -> np.ndarray:
+    """The inverse by elimination with row pivots.  (LAPACK's threads have been seen to stop for good in a driver that had started a JVM.)"""
+    n = len(a)
+    x = np.concatenate([a.astype(float), np.eye(n)], 1)
+    for k in range(n):
+        p = k + int(np.abs(x[k:, k]).argmax())
+        if x[p, k] == 0:
+            raise np.linalg.LinAlgError("singular matrix")
+        x[[k, p]] = x[[p, k]]
+        x[k] /= x[k, k]
+        f = x[:, k].copy()
+        f[k] = 0
+        x -= f[:, None] * x[k]
+    return x[:, n:]
+
+
+def column_generation(size: np.ndarray, demand: np.ndarray, capacity: int, patience: int = 300) -> tuple[np.ndarray, np.ndarray, float]:
     """(patterns [pattern, class], how often, bound) of the linear program: as few sequences as possible, each class met exactly.
 
-    It ends when no pattern is worth more than a sequence, or when patience rounds in a row (of degenerate
-    steps) gained nothing.  bound is never above the program's optimum, however it ends: the greatest of
+    It ends when no pattern is worth more than a sequence, when the bound is met, or when patience rounds in
+    a row (of degenerate steps) gained less than a millionth.  Of the patterns that may leave, the one of the
+    largest pivot does, so that rounding errors stay small.  bound is never above the program's optimum, however it ends: the greatest of
     the duals' value over the worth of the best pattern.
     """
     m = len(size)
@@ -64,8 +81,11 @@ def column_generation(size: np.ndarray, demand: np.ndarray, capacity: int, patie
         d = inverse @ new
         with np.errstate(divide="ignore", invalid="ignore"):
             ratio = np.where(d > 1e-9, x / d, np.inf)
-        out = int(ratio.argmin())
-        step = ratio[out]
+        step = float(ratio.min())
+        if not np.isfinite(step):  # only a rounding error
+            break
+        may = np.flatnonzero(ratio <= step + 1e-9 * (1 + abs(step)))
+        out = int(may[d[may].argmax()])
         x = x - step * d
         x[out] = step
         pattern[out] = new
@@ -74,10 +94,12 @@ def column_generation(size: np.ndarray, demand: np.ndarray, capacity: int, patie
         inverse[out] = row
         k += 1
         if k % 50 == 0:
-            inverse = np.linalg.inv(pattern.T.astype(float))
+            inverse = inverted(pattern.T)
             x = np.maximum(inverse @ demand, 0)
         now = float(x.sum())
-        best, idle = (now, 0) if now < best * (1 - 1e-12) else (best, idle + 1)
+        if now <= bound * (1 + 1e-9):
+            break
+        best, idle = (now, 0) if now < best * (1 - 1e-6) else (best, idle + 1)
     return pattern, np.maximum(x, 0) if m else x, max(bound, float(demand @ size) / capacity)
 
 

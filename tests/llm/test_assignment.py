@@ -132,6 +132,14 @@ def test_a_capacity_that_is_no_multiple(spark):
     assert max(load.values()) <= 2047 and sum(load.values()) == 2046 + 2047 + 5000 + 7 + 2046 + 7
 
 
+def test_inverse_by_elimination():
+    a = np.random.default_rng(2).normal(size=(40, 40))
+    a[0, 0] = 0
+    assert packing.inverted(a) @ a == pytest.approx(np.eye(40), abs=1e-9)
+    with pytest.raises(np.linalg.LinAlgError):
+        packing.inverted(np.zeros((2, 2)))
+
+
 def test_the_bound_holds_however_the_program_ends():
     size, demand = np.array([3, 5, 7, 11, 13]), np.array([50, 41, 37, 29, 23])
     ends = [packing.column_generation(size, demand, 26, patience)[1:] for patience in (1, 1000)]
