@@ -162,14 +162,18 @@ class Shard:
             yield length, own, head, h[head], row
 
     def request(self, known: Known) -> tuple[np.ndarray, np.ndarray]:
-        """(hash, count) of the runs to ask for."""
+        """(hash, count) of the runs to ask for, by hash."""
         found = [(h, np.diff(np.r_[head, len(own)])) for _, own, head, h, _ in self._asked(known)]
-        return np.concatenate([h for h, _ in found]), np.concatenate([n for _, n in found])
+        h = np.concatenate([h for h, _ in found])
+        order = np.argsort(h)
+        return h[order], np.concatenate([n for _, n in found])[order]
 
-    def answer(self, known: Known, totals: np.ndarray) -> int:
+    def answer(self, known: Known, sums: np.ndarray) -> int:
         """Takes the sums for request(), in its order; returns how many positions are to be asked for next."""
-        at = 0
-        for length, own, head, h, row in list(self._asked(known)):
+        asked, at = list(self._asked(known)), 0
+        totals = np.empty(len(sums), np.int64)
+        totals[np.argsort(np.concatenate([h for _, _, _, h, _ in asked]))] = sums
+        for length, own, head, h, row in asked:
             n = np.diff(np.r_[head, len(own)])
             total = np.repeat(totals[at : at + len(h)], n)
             at += len(h)
@@ -229,11 +233,17 @@ class Deep:
         head = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
         return h[head], np.diff(np.r_[head, len(h)])
 
-    def answer(self, totals: np.ndarray) -> int:
+    def answer(self, sums: np.ndarray) -> int:
         pos, length, fits, text, h = self._asked()
         total, other = np.zeros(len(pos), np.int64), np.zeros(len(pos), np.int64)
-        total[fits] = totals[np.searchsorted(tk.sorted_unique(h), h)]
-        other[fits] = total[fits] - _same(h + text[fits].astype(np.uint64) * _TEXT)
+        order = np.argsort(h)
+        head = np.flatnonzero(np.r_[True, h[order[1:]] != h[order[:-1]]]) if len(h) else np.zeros(0, np.int64)
+        of = np.empty(len(h), np.int64)
+        of[order] = np.repeat(sums, np.diff(np.r_[head, len(h)]))
+        total[fits] = of
+        again = np.flatnonzero(of > 1)  # a run that occurs once in all is in no other text
+        at = np.flatnonzero(fits)[again]
+        other[at] = of[again] - _same(h[again] + text[at].astype(np.uint64) * _TEXT)
         more = np.flatnonzero((other > 0) & (length > self.length[pos]))
         more = more[np.argsort(length[more], kind="stable")]
         self.length[pos[more]], self.count[pos[more]] = length[more], other[more]
@@ -344,8 +354,7 @@ def _request(shard, known) -> tuple[np.ndarray, np.ndarray]:
 def _ask(buckets: int):
     def run(key, texts: pa.Table, told: pa.Table) -> pa.Table:
         h, n = _request(*_opened(texts, told)[:2])
-        order = np.argsort(h)
-        h, n = h[order], n[order].astype(np.uint32)
+        n = n.astype(np.uint32)
         cuts = _bounds(h, buckets)
         some = np.flatnonzero(cuts[1:] > cuts[:-1])
         return pa.table([
@@ -371,10 +380,7 @@ def _sum(asked: pa.Table) -> pa.Table:
 
 def _take(key, texts: pa.Table, told: pa.Table) -> pa.Table:
     shard, known, found = _opened(texts, told)
-    totals = np.empty(len(found), np.int64)
-    if len(found):
-        totals[np.argsort(_request(shard, known)[0])] = found
-    left = known.answer(totals) if shard is None else shard.answer(known, totals)
+    left = known.answer(found) if shard is None else shard.answer(known, found)
     return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([left], pa.int64()), pa.array([_pack(known)], pa.binary())], ["shard", "open", "state"])
 
 

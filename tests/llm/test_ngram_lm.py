@@ -2,9 +2,11 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tarnwick.llm import ngram_lm, queries
+from tarnwick.llm import textkernel as tk
 
 
 def brute(texts, alpha=0.5):
@@ -74,3 +76,20 @@ def test_op9_scores_the_documents(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, "a")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert sorted(x[0] for x in queries.op9_lm_scoring(spark, str(tmp_path)).collect()) == [7, 8]
+
+
+def test_a_round_works_out_once_what_it_asked_for(monkeypatch):
+    texts = ["a b c a b d e a b", "b c a b d e a", "e a b a b d e"]
+    hashes, row = tk.token_hashes(pa.array(texts))
+    shard = ngram_lm.Shard([0, 1, 2], np.bincount(row).astype(np.int64), hashes)
+    known, calls = ngram_lm.Known(shard), []
+    plain = ngram_lm.Shard._asked
+    monkeypatch.setattr(ngram_lm.Shard, "_asked", lambda self, known: calls.append(1) or plain(self, known))
+    for _ in ngram_lm.ROUNDS:
+        h, n = ngram_lm._request(shard, known)
+        assert (h[1:] > h[:-1]).all()
+        told = pa.table({"kind": pa.array([0, 1], pa.int32()), "bucket": pa.array([0, 0], pa.int32()), "data": pa.array([ngram_lm._pack(known), ngram_lm._pack(n.astype(np.uint32))], pa.binary())})
+        calls.clear()
+        out = ngram_lm._take((pa.scalar(0),), pa.table({"shard": [0], "texts": pa.array([ngram_lm._pack(shard)], pa.binary())}), told)
+        assert len(calls) == 1
+        known = ngram_lm._unpack(out.column("state")[0].as_py())
