@@ -19,11 +19,12 @@ import gc
 import pickle
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwick.llm import textkernel as tk
@@ -406,6 +407,20 @@ def _finish(tokens: int, alpha: float):
     return run
 
 
+@contextmanager
+def _settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Settings of the session, named by what follows spark.sql with __ for dots, while something is computed."""
+    names = {f"spark.sql.{k.replace('__', '.')}": v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def score_each(docs: DataFrame, *, alpha: float = 0.5, shard_tokens: int = SHARD_TOKENS, bucket_runs: int = BUCKET_RUNS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, log_prob, bits_per_token, mean_context, longest_context) of every text, by all other texts of docs.
 
@@ -425,11 +440,19 @@ def score_each(docs: DataFrame, *, alpha: float = 0.5, shard_tokens: int = SHARD
     folder = f"{checkpoint_dir(spark).rstrip('/')}/ngram-lm-{uuid.uuid4().hex}"
 
     def kept(made: Callable[[], DataFrame], name: str) -> DataFrame:
-        """What is made, from files: a checkpoint would keep its estimated size, which a cogroup squares in each round."""
-        made().write.parquet(f"{folder}/{name}")
+        """What is made, from files: a checkpoint would keep its estimated size, which a cogroup squares in each round.
+
+        Its shuffle files go as soon as it is written: those of several rounds don't lie on disk together.
+        """
+        with _settings(spark, classic__shuffleDependency__fileCleanup__enabled="true"):
+            made().write.parquet(f"{folder}/{name}")
         free()
         return spark.read.schema(_STATE).parquet(f"{folder}/{name}")
 
+    def total(df: DataFrame, name: str) -> int:
+        with _settings(spark, classic__shuffleDependency__fileCleanup__enabled="true"):
+            return df.agg(F.coalesce(F.sum(name), F.lit(0))).first()[0]
+
     def free() -> None:
         """The shuffle files of what nothing refers to any more go, instead of when the driver happens to collect its garbage."""
         gc.collect()
@@ -448,14 +471,11 @@ def score_each(docs: DataFrame, *, alpha: float = 0.5, shard_tokens: int = SHARD
         sums = asked.groupBy("bucket").applyInArrow(_sum, "shard long, kind int, bucket int, data binary")
         return fixed.cogroup(told(state).union(sums).groupBy("shard")).applyInArrow(_take, _STATE)
 
-    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else the checkpoint wouldn't know how it is partitioned, and be shuffled in each round
-    try:
+    # with adaptive plans the checkpoint wouldn't know how it is partitioned, and be shuffled in each round
+    with _settings(spark, adaptive__enabled="false", classic__shuffleDependency__fileCleanup__enabled="true"):
         fixed = cut(texts.mapInArrow(_shards(shard_tokens), _FIXED).repartition(shuffle_partitions(spark), "shard"))
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
     free()
-    tokens = fixed.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    tokens = total(fixed, "tokens")
     if not tokens:
         return spark.createDataFrame([], _OUT)
     fixed = fixed.select("shard", "texts")
@@ -466,7 +486,7 @@ def score_each(docs: DataFrame, *, alpha: float = 0.5, shard_tokens: int = SHARD
         if k:
             gone(f"dense-{k - 1}")
     state, k = kept(lambda: fixed.groupBy("shard").cogroup(told(known).groupBy("shard")).applyInArrow(_split, _STATE), "deep-0"), 0
-    while state.agg(F.sum("open")).first()[0]:
+    while total(state, "open"):
         state = kept(lambda: next_round(state.select("shard"), state), f"deep-{k + 1}")  # noqa: B023
         gone(f"deep-{k}")
         k += 1

@@ -1,5 +1,7 @@
 import math
 import random
+import time
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -93,3 +95,26 @@ def test_a_round_works_out_once_what_it_asked_for(monkeypatch):
         out = ngram_lm._take((pa.scalar(0),), pa.table({"shard": [0], "texts": pa.array([ngram_lm._pack(shard)], pa.binary())}), told)
         assert len(calls) == 1
         known = ngram_lm._unpack(out.column("state")[0].as_py())
+
+
+def test_shuffle_files_go_with_their_round(spark, monkeypatch):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        x = blocks.getAllBlocks()
+        return {n for n in (x.apply(k).name() for k in range(x.length())) if n.startswith("shuffle_")}
+
+    before, left = files(), []
+
+    def look():
+        end = time.time() + 5
+        while files() - before and time.time() < end:
+            time.sleep(0.1)
+        left.append(len(files() - before))
+
+    monkeypatch.setattr(ngram_lm, "gc", SimpleNamespace(collect=look))  # called after each write, before the driver's garbage is collected
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(setting)
+    ngram_lm.score_each(spark.createDataFrame([(1, "a b c"), (2, "a b d")], "doc_id long, text string").repartition(2))
+    assert len(left) > len(ngram_lm.ROUNDS) and not any(left)
+    assert spark.conf.get(setting) == old
