@@ -118,3 +118,26 @@ def test_shuffle_files_go_with_their_round(spark, monkeypatch):
     ngram_lm.score_each(spark.createDataFrame([(1, "a b c"), (2, "a b d")], "doc_id long, text string").repartition(2))
     assert len(left) > len(ngram_lm.ROUNDS) and not any(left)
     assert spark.conf.get(setting) == old
+
+
+def test_what_two_copies_ask_for_is_little():
+    """Disk of a round is what it asks for: lengths up to DENSE for all, then only where copies part."""
+    r = random.Random(3)
+    words = [f"w{r.randrange(300)}" for _ in range(3000)]
+    hashes, row = tk.token_hashes(pa.array([" ".join(words), " ".join(words), " ".join(words[:1000])]))
+    shard = ngram_lm.Shard([0, 1, 2], np.bincount(row).astype(np.int64), hashes)
+    known, asked = ngram_lm.Known(shard), 0
+    for _ in ngram_lm.ROUNDS:
+        h, n = ngram_lm._request(shard, known)
+        asked += len(h)
+        shard.answer(known, n.astype(np.int64))
+    assert asked < 4 * len(words)
+    _, search = shard.deep(known)
+    assert len(search.doubling[0]) < 20
+
+
+def test_argsort():
+    r = np.random.default_rng(1)
+    near = (np.uint64(1) << np.uint64(63)) + r.integers(0, 9, 500).astype(np.uint64)
+    for key in (near, np.r_[near[:40], r.integers(0, 2**63, 5000, dtype=np.uint64)], r.integers(0, 2**20, 3000), np.zeros(1, np.uint64), near[:0]):
+        assert (key[ngram_lm._argsort(key)] == np.sort(key)).all()
