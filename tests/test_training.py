@@ -1,4 +1,5 @@
 import math
+import time
 
 import numpy as np
 import pytest
@@ -183,3 +184,36 @@ def test_lags_by_pieces(spark):
     df = spark.createDataFrame([x[:3] for x in rows], "seq long, worker long, iter long")
     got = {r["seq"]: (r["slowest"], r["lag"]) for r in lags(df, ["seq"], F.floor(F.col("seq") / 9)).collect()}
     assert got == {s: (low, i - low) for s, _, i, low in rows}
+
+
+def test_clock_of_many_workers_takes_no_look_at_all_of_them(spark):
+    from pyspark.sql import functions as F
+
+    from tarnwick.plans.schedule import replay
+
+    workers = 20_000
+    seq = spark.range(2 * workers).withColumnRenamed("id", "seq")
+    df = seq.withColumn("worker", F.col("seq") % workers).withColumn("iter", F.floor(F.col("seq") / workers))
+    began = time.monotonic()
+    out = replay(df, 1).agg(F.sum(F.col("waits").cast("long")), F.sum(F.size("released"))).first()
+    assert tuple(out) == (2 * workers - 2, 2 * workers - 2)
+    assert time.monotonic() - began < 60
+
+
+def test_clock_by_number_of_workers():
+    known, number = StalenessClock([3, 5, 9], 1), StalenessClock(3, 1)
+    for x in ((3, 0), (5, 0), (3, 2), (9, 1), (5, 1), (5, 4), (9, 2)):
+        assert known.progress(*x) == number.progress(*x)
+
+
+def test_lags_of_a_piece_of_many_batches(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(s, s % 3, s // 3) for s in range(400)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        df = spark.createDataFrame(rows, "seq long, worker int, iter int")
+        got = lags(df, ["seq"], F.floor(F.col("seq") / 300)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r["seq"]: r["lag"] for r in got} == {s: 0 if w == 2 or s < 3 else 1 for s, w, _ in rows}
