@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,32 +53,13 @@ def softmax_pass(w: np.ndarray, index: list[np.ndarray], value: list[np.ndarray]
     return float(cost)
 
 
-def _kernel(step, rate: float, cols: int):
-    def run(samples: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        name = "values" if cols else "value"
-        if not len(samples):
-            return pd.DataFrame({"key": pd.Series([], dtype="Int64"), name: [], "cost": [], "samples": []})
-        samples, rows = samples.sort_values("sample_id"), rows.sort_values("key")
-        keys = rows["key"].to_numpy(np.int64)
-        w = (np.stack(rows["values"].to_numpy()).astype(float) if len(rows) else np.zeros((0, cols))) if cols else rows["value"].to_numpy(float).copy()
-        old = w.copy()
-        index = [np.searchsorted(keys, np.asarray(k, np.int64)) for k in samples["keys"]]
-        cost = step(w, index, [np.asarray(v, float) for v in samples["vals"]], samples["label"].to_numpy(), rate)
-        change = w - old
-        some = np.flatnonzero(change.any(1) if cols else change)
-        out = pd.DataFrame({"key": pd.array([*keys[some], None], dtype="Int64"), name: [*change[some], None]})
-        return out.assign(cost=[0.0] * len(some) + [cost], samples=[0] * len(some) + [len(samples)])
-
-    return run
-
-
 def fit_logistic(samples: DataFrame, *, dim: int, eta: float = 1e-4, iterations: int = 100, parts: int = 8, mode: Mode = Mode.ASGD, batch_size: int = 100, max_lag: int = 2, policy: str = "freshest", init: ParamTable | None = None) -> Trained:
     """Weights of keys 0 to dim, at zero or from init, after iterations passes; see training.train for the modes."""
     table = init or ParamTable.create(samples.sparkSession, dim + 1)
-    return train(samples, table, _kernel(logistic_pass, eta, 0), mode=mode, iterations=iterations, parts=parts, batch_size=batch_size, max_lag=max_lag, policy=policy)
+    return train(samples, table, partial(logistic_pass, eta=eta), mode=mode, iterations=iterations, parts=parts, batch_size=batch_size, max_lag=max_lag, policy=policy)
 
 
 def fit_softmax(samples: DataFrame, *, dim: int, classes: int, rate: float = 0.1, iterations: int = 500, parts: int = 8, mode: Mode = Mode.ASGD, batch_size: int = 100, one_more: bool = False, init: ParamTable | None = None) -> Trained:
     """Weights [key, class]; one_more makes iterations + 1 passes."""
     table = init or ParamTable.create(samples.sparkSession, dim, classes)
-    return train(samples, table, _kernel(softmax_pass, rate, classes), mode=mode, iterations=iterations + one_more, parts=parts, batch_size=batch_size)
+    return train(samples, table, partial(softmax_pass, rate=rate), mode=mode, iterations=iterations + one_more, parts=parts, batch_size=batch_size)

@@ -217,3 +217,23 @@ def test_lags_of_a_piece_of_many_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert {r["seq"]: r["lag"] for r in got} == {s: 0 if w == 2 or s < 3 else 1 for s, w, _ in rows}
+
+
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_rounds_of_one_task_and_of_many(spark, monkeypatch, limit):
+    """Batches of 2 rows make the task's stream; a table above the limit is joined for each round."""
+    from tarnwick.operators import training
+
+    cuts = []
+    monkeypatch.setattr(training, "ONE_TASK", limit)
+    monkeypatch.setattr(training, "cut", lambda df, cut=training.cut: cuts.append(1) or cut(df))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        fit = regression.fit_logistic(spark.createDataFrame(ROWS, SCHEMA), dim=7, eta=0.3, iterations=2, parts=3, mode=Mode.ASGD, batch_size=3)
+        bsp = regression.fit_logistic(spark.createDataFrame(ROWS, SCHEMA), dim=7, eta=0.3, iterations=2, parts=3, mode=Mode.BSP)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    w, costs = golden(parted(3, 3), 2)
+    assert {r["key"]: r["value"] for r in fit.table.df.collect()} == pytest.approx(w) and fit.costs == pytest.approx(costs)
+    assert {r["key"]: r["value"] for r in bsp.table.df.collect()} == pytest.approx(golden(parted(3), 2)[0])
+    assert len(cuts) == (2 + 2 * 3 * 2 if not limit else 2 + 2 * 2) + 2 + 2 * 2
