@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwick.functions import columns as C
+from tarnwick.operators import tokenise
 from tarnwick.plans.lineage import cut
 
 
@@ -14,16 +15,28 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
 
 
+_TOKENS = "doc_id {id}, line_no int, pos int, word string"
+_TOKEN_NAMES = ["doc_id", "line_no", "pos", "word"]
+
+
 def topic_tokens(docs: DataFrame, **cols) -> DataFrame:
     """(doc_id, line_no, pos, word) with the topic model's cleaner; blank lines and tokens are dropped."""
-    own = lines(docs, **cols).where(C.not_blank(F.col("line")))
-    return own.select("doc_id", "line_no", F.posexplode(F.split("line", " ")).alias("pos", "raw")).select("doc_id", "line_no", "pos", C.clean_topic_token(F.col("raw")).alias("word")).where("word <> ''")
+    return tokenise.mapped(docs, tokenise.topic, tokenise.all_tokens, _TOKENS, _TOKEN_NAMES, **cols)
 
 
 def embedding_tokens(docs: DataFrame, **cols) -> DataFrame:
     """(doc_id, line_no, pos, word) with the embedding cleaner; pos counts the tokens that stay."""
-    own = lines(docs, **cols).where(C.not_blank(F.col("line"), trim=False))
-    return own.select("doc_id", "line_no", F.posexplode(C.embedding_words(F.col("line"))).alias("pos", "word"))
+    return tokenise.mapped(docs, tokenise.embedding, tokenise.all_tokens, _TOKENS, _TOKEN_NAMES, **cols)
+
+
+def word_totals(docs: DataFrame, cleaner: tokenise.Cleaner, **cols) -> DataFrame:
+    """(word, count) of all tokens."""
+    return tokenise.mapped(docs, cleaner, tokenise.word_totals, "word string, n long", ["word", "n"], **cols).groupBy("word").agg(F.sum("n").alias("count"))
+
+
+def text_words(docs: DataFrame, cleaner: tokenise.Cleaner, **cols) -> DataFrame:
+    """(doc_id, word, n): how often each word comes in each text."""
+    return tokenise.mapped(docs, cleaner, tokenise.text_words, "doc_id {id}, word string, n long", ["doc_id", "word", "n"], **cols)
 
 
 def embedding_lines(docs: DataFrame, **cols) -> DataFrame:

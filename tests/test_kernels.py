@@ -77,3 +77,21 @@ def test_array_columns(spark):
     row = spark.createDataFrame([([1.0, 2.0], [0.5, 0.25], [10.0, 20.0], {1: 2.0, 5: 3.0}, {1: 4.0})], "x array<double>, r array<double>, y array<double>, f map<int,double>, w map<int,double>")
     got = row.select(C.scaled_axpy(F.lit(2.0), F.col("x"), F.col("r"), F.col("y")).alias("a"), C.sparse_dot(F.col("f"), F.col("w")).alias("d")).first()
     assert list(got["a"]) == [11.0, 21.0] and got["d"] == 8.0
+
+
+def test_tokeniser_counts_without_a_row_for_a_token(monkeypatch):
+    import pyarrow as pa
+
+    from tarnwick.operators import tokenise
+
+    texts = pa.array(["a^b-c Don't\n\n  \nOne  two", None, "", "1 2\n \u00e9t\u00e9 two two"])
+    t = tokenise.topic(texts)
+    got = [(int(r), int(n), int(p), t.words[int(c)].as_py()) for r, n, p, c in zip(t.row, t.line, t.pos, t.code)]
+    assert got == [(0, 0, 0, "a^b c"), (0, 0, 1, "don t"), (0, 3, 0, "one"), (0, 3, 2, "two"), (3, 1, 1, "t"), (3, 1, 2, "two"), (3, 1, 3, "two")]
+    e = tokenise.embedding(texts)
+    assert [(int(r), int(n), int(p), e.words[int(c)].as_py()) for r, n, p, c in zip(e.row, e.line, e.pos, e.code)] == [(0, 0, 0, "abc"), (0, 0, 1, "dont"), (0, 3, 0, "one"), (0, 3, 1, "two"), (3, 1, 0, "t"), (3, 1, 1, "two"), (3, 1, 2, "two")]
+    ids, words, n = tokenise.text_words(pa.array([7, 8, 9, 10]), t, None)
+    assert sorted(zip(ids.to_pylist(), words.to_pylist(), n.tolist()))[-1] == (10, "two", 2)
+    batch = pa.record_batch([pa.array([1, 2, 3]), pa.array(["xx", None, "y" * 9])], ["doc_id", "text"])
+    monkeypatch.setattr(tokenise, "SLICE", 4)
+    assert [s.num_rows for s in tokenise._slices(batch)] == [2, 1]
