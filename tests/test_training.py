@@ -237,3 +237,22 @@ def test_rounds_of_one_task_and_of_many(spark, monkeypatch, limit):
     assert {r["key"]: r["value"] for r in fit.table.df.collect()} == pytest.approx(w) and fit.costs == pytest.approx(costs)
     assert {r["key"]: r["value"] for r in bsp.table.df.collect()} == pytest.approx(golden(parted(3), 2)[0])
     assert len(cuts) == (2 + 2 * 3 * 2 if not limit else 2 + 2 * 2) + 2 + 2 * 2
+
+
+def test_blocks_solve_what_aggregates_solve(spark, monkeypatch):
+    """Batches of 3 rows cut through the ratings of a key; no rating goes through metrics.rating_errors."""
+    from pyspark.sql import functions as F
+
+    from tarnwick.operators import metrics
+
+    r = np.random.default_rng(5)
+    ratings = spark.createDataFrame([(int(u), int(p), float(r.integers(1, 6))) for u in range(9) for p in r.permutation(12)[:7]], "uid long, pid long, rating double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        users, products, errors = recommend.fit(ratings, rank=3, iterations=2)
+        again = {x["key"]: x["values"] for x in recommend.half_step(ratings, products, 3, 0.1, "uid", "pid").collect()}
+        assert {x["key"]: x["values"] for x in users.collect()} == {k: pytest.approx(v) for k, v in again.items()}
+        assert errors[-1] == pytest.approx(metrics.rmse(metrics.rating_errors(ratings, users, products), 1, 1).first()["rmse"])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert not hasattr(recommend, "rating_errors") and ratings.where(F.col("rating") < 0).isEmpty()
